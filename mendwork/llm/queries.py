@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, language, main_text, packing, quality_rules, simhash
+from . import attribution, decontaminate, fixity, gam, language, main_text, mixing, packing, quality_rules, simhash
 from .common import cut_lineage, remainder, table
 
 
@@ -24,6 +24,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder("doc_id", 5)
+    scored = mixing.score_texts(docs, training=fold != 1, fold=fold == 4)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = main_text.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -38,6 +45,29 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as records of files of 1,000, and a replica in which some are altered or missing."""
+    record = F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    file = F.floor(F.col("page_id") / 1000)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    sized = pages.select("page_id", F.octet_length(record).cast("long").alias("n"), F.sha2(record, 256).alias("h"))
+    by_file = Window.partitionBy(F.floor(F.col("page_id") / 1000)).orderBy("page_id", "n", "h").rowsBetween(Window.unboundedPreceding, -1)
+    # the replica's bytes are hashed again from the pages; only the layout is shared
+    placed = sized.withColumn("offset", F.coalesce(F.sum("n").over(by_file), F.lit(0))).select("page_id", "offset")
+    both = pages.join(placed, "page_id")
+    first = fixity.leaves(both, file, F.col("offset"), record)
+    altered = F.when(F.col("page_id") % 97 == 5, F.concat(record, F.lit("x"))).otherwise(record)
+    second = fixity.leaves(both.where(F.col("page_id") % 89 != 7), file, F.col("offset"), altered)
+    roots, damage = fixity.audit(cut_lineage(first), cut_lineage(second))
+    listed = damage.groupBy("file").agg(F.count("*").alias("n_damaged"), F.array_join(F.array_sort(F.collect_list(F.format_string("%010d:%s", "offset", "status"))), ",").alias("damaged"))
+    return roots.join(listed, "file", "left").select("file", "records", "bytes", "root_a", "root_b", "intact", F.coalesce("n_damaged", F.lit(0)).cast("long").alias("n_damaged"), F.coalesce("damaged", F.lit("")).alias("damaged"))
+
+
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = attribution.token_counts(table(spark, sf_dir, "documents"), rule="majority")
+    return counted.select("doc_id", "section", "start", "length", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"))
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -60,6 +90,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_rules, op2_simhash, op4_packing, op7_html_extraction, op8_decontamination, op9_quality_classifier, op10_language_id)}
+QUERIES = {q.__name__: q for q in (op1_quality_rules, op2_simhash, op3_warc_fixity, op4_packing, op5_lm_scoring, op6_token_attribution, op7_html_extraction, op8_decontamination, op9_quality_classifier, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
