@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: hash, number of records, bytes, first offset
-NODE = ("hash", "records", "bytes")
+from .common import cut_lineage
 
 
 def leaves(records: DataFrame, file: Column, offset: Column, payload: Column) -> DataFrame:
@@ -34,47 +33,54 @@ def leaves(records: DataFrame, file: Column, offset: Column, payload: Column) ->
 
 
 def levels(leaf: DataFrame, range_bytes: int, fan: int, height: int) -> list[DataFrame]:
-    """Nodes (file, range, hash, records, bytes) from the lowest ranges to the root."""
-    node = leaf.select("file", F.col("offset").alias("at"), "hash", F.lit(1).cast("long").alias("records"), "bytes")
+    """Nodes (replica, file, range, hash, records, bytes) from the lowest ranges to the root.
+
+    ``leaf`` holds the leaves of all replicas with a column ``replica``. Every
+    level is written to the shared folder, as the next one is built on it.
+    """
+    node = leaf.select("replica", "file", F.col("offset").alias("at"), "hash", F.lit(1).cast("long").alias("records"), "bytes")
     out = []
     for level in range(height + 1):
         # the last level is the file's root
         key = F.lit(0).cast("long") if level == height else F.floor(F.col("at") / (range_bytes if level == 0 else fan)).cast("long")
         parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: F.concat_ws(":", x["at"].cast("string"), x["hash"]))
-        node = node.withColumn("range", key).groupBy("file", "range").agg(F.sha2(F.array_join(parts, ",").cast("binary"), 256).alias("hash"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
-        out.append(node)
-        node = node.withColumnRenamed("range", "at")
+        made = node.withColumn("range", key).groupBy("replica", "file", "range").agg(F.sha2(F.array_join(parts, ",").cast("binary"), 256).alias("hash"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+        out.append(cut_lineage(made))
+        node = out[-1].withColumnRenamed("range", "at")
     return out
 
 
-def _compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    left, right = a.select(*keys, F.col("hash").alias("hash_a")), b.select(*keys, F.col("hash").alias("hash_b"))
-    return left.join(right, keys, "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+def _hashes() -> list[Column]:
+    return [F.max(F.when(F.col("replica") == r, F.col("hash"))).alias(f"hash_{r}") for r in "ab"]
+
+
+def _differ(nodes: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Keys whose hashes differ between the replicas a and b, or that one of them lacks."""
+    return nodes.groupBy(*keys).agg(*_hashes(), *more).where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
 
 def audit(a: DataFrame, b: DataFrame, range_bytes: int = 65536, fan: int = 16, height: int = 3) -> tuple[DataFrame, DataFrame]:
     """(roots, damage) of two replicas given as leaves.
 
     roots: per file root_a, root_b (null where a replica lacks the file),
-    records and bytes of ``a``, intact. damage: per record that differs its
-    file, offset, bytes and status corrupt, missing (not in ``b``) or extra.
-    Two empty replicas give no rows. ``height`` levels of ranges stand below
-    the root: the root then has a child per range_bytes * fan^(height-1) bytes.
+    records and bytes of ``a`` (null if it lacks the file), intact. damage: per
+    record that differs its file, offset, bytes (of ``a`` where it has the
+    record) and status corrupt, missing (not in ``b``) or extra. Two empty
+    replicas give no rows. ``height`` levels of ranges stand below the root:
+    the root has a child per range_bytes * fan^(height - 1) bytes.
     """
-    up_a, up_b = levels(a, range_bytes, fan, height), levels(b, range_bytes, fan, height)
-    roots = up_a[-1].select("file", F.col("hash").alias("root_a"), "records", "bytes").join(up_b[-1].select("file", F.col("hash").alias("root_b")), "file", "full")
-    roots = roots.withColumn("intact", F.col("root_a").eqNullSafe(F.col("root_b")))
-    suspect = roots.where("NOT intact").select("file")
-    keys = ["file"]
+    leaf = cut_lineage(a.withColumn("replica", F.lit("a")).unionByName(b.withColumn("replica", F.lit("b"))))
+    up = levels(leaf, range_bytes, fan, height)
+    of_a = lambda c: F.max(F.when(F.col("replica") == "a", F.col(c))).alias(c)
+    roots = up[-1].groupBy("file").agg(*_hashes(), of_a("records"), of_a("bytes"))
+    roots = roots.select("file", F.col("hash_a").alias("root_a"), F.col("hash_b").alias("root_b"), "records", "bytes", F.col("hash_a").eqNullSafe(F.col("hash_b")).alias("intact"))
+    suspect, keys = roots.where("NOT intact").select("file"), ["file"]
     for level in range(height - 1, -1, -1):
-        own_a, own_b = up_a[level], up_b[level]
+        own = up[level]
         if level < height - 1:  # below the root's children: only inside ranges that differ
-            own_a, own_b = (x.withColumn("parent", F.floor(F.col("range") / fan).cast("long")) for x in (own_a, own_b))
-            keys = ["file", "parent"]
-        differ = _compare(own_a.join(suspect, keys, "left_semi"), own_b.join(suspect, keys, "left_semi"), ["file", "range"])
-        suspect = differ.select("file", F.col("range").alias("parent"))
-    inside = [x.withColumn("parent", F.floor(F.col("offset") / range_bytes).cast("long")).join(suspect, ["file", "parent"], "left_semi") for x in (a, b)]
-    sizes = [x.select("file", "offset", F.col("bytes").alias(f"bytes_{n}")) for n, x in zip("ab", inside)]
-    damage = _compare(*inside, ["file", "offset"]).join(sizes[0], ["file", "offset"], "left").join(sizes[1], ["file", "offset"], "left")
+            own, keys = own.withColumn("parent", F.floor(F.col("range") / fan).cast("long")), ["file", "parent"]
+        suspect = _differ(own.join(suspect, keys, "left_semi"), ["file", "range"]).select("file", F.col("range").alias("parent"))
+    inside = leaf.withColumn("parent", F.floor(F.col("offset") / range_bytes).cast("long")).join(suspect, ["file", "parent"], "left_semi")
+    damage = _differ(inside, ["file", "offset"], of_a("bytes"), F.max("bytes").alias("_any"))
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("corrupt")
-    return roots, damage.select("file", "offset", F.coalesce("bytes_a", "bytes_b").alias("bytes"), status.alias("status"))
+    return roots, damage.select("file", "offset", F.coalesce("bytes", "_any").alias("bytes"), status.alias("status"))

@@ -53,12 +53,12 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = pages.select("page_id", F.octet_length(record).cast("long").alias("n"), F.sha2(record, 256).alias("h"))
     by_file = Window.partitionBy(F.floor(F.col("page_id") / 1000)).orderBy("page_id", "n", "h").rowsBetween(Window.unboundedPreceding, -1)
     # the replica's bytes are hashed again from the pages; only the layout is shared
-    placed = sized.withColumn("offset", F.coalesce(F.sum("n").over(by_file), F.lit(0))).select("page_id", "offset")
+    placed = cut_lineage(sized.withColumn("offset", F.coalesce(F.sum("n").over(by_file), F.lit(0))).select("page_id", "offset"))
     both = pages.join(placed, "page_id")
     first = fixity.leaves(both, file, F.col("offset"), record)
     altered = F.when(F.col("page_id") % 97 == 5, F.concat(record, F.lit("x"))).otherwise(record)
     second = fixity.leaves(both.where(F.col("page_id") % 89 != 7), file, F.col("offset"), altered)
-    roots, damage = fixity.audit(cut_lineage(first), cut_lineage(second))
+    roots, damage = fixity.audit(first, second)
     listed = damage.groupBy("file").agg(F.count("*").alias("n_damaged"), F.array_join(F.array_sort(F.collect_list(F.format_string("%010d:%s", "offset", "status"))), ",").alias("damaged"))
     return roots.join(listed, "file", "left").select("file", "records", "bytes", "root_a", "root_b", "intact", F.coalesce("n_damaged", F.lit(0)).cast("long").alias("n_damaged"), F.coalesce("damaged", F.lit("")).alias("damaged"))
 
