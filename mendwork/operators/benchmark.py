@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .detect import accuracy, detect
 from .extract import extract
 from .health import broken_fields, health
-from .repair import plans, proposed, repair
+from .repair import plans, repair, with_proposed
 from .schema import Strategy, default_strategy
 from .score import field_accuracy
 
@@ -21,49 +21,56 @@ def whole_site(records: DataFrame, groups: list[str]) -> DataFrame:
     return records.withColumn("pos", place.cast("int"))
 
 
-def rows_of(pages: DataFrame, strategy: Strategy | str, golden: DataFrame, expected: int) -> tuple[DataFrame, DataFrame]:
-    """(benchmark rows by layout, health reports)."""
-    records = whole_site(extract(pages, strategy, ["layout", "page_no"]).records, ["layout"])
-    report = health(records, ["layout"], expected, runs=pages.select("layout").distinct())
-    right = field_accuracy(records, golden, ["layout"])
-    rows = report.join(right, "layout", "left").select("layout", F.col("records_received").alias("records"), "completeness", "validity", F.bround(F.coalesce("field_accuracy", F.lit(0.0)), 4).alias("field_accuracy"), F.col("health_score").alias("health"), "status")
+def rows_of(pages: DataFrame, strategy: Strategy | str, golden: DataFrame, expected: int, groups: list[str], site: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(benchmark rows by group, health reports)."""
+    records = whole_site(extract(pages, strategy, [*groups, "page_no"]).records, groups)
+    report = health(records, groups, expected, runs=pages.select(*groups).distinct())
+    right = field_accuracy(records, golden, groups, site)
+    rows = report.join(right, groups, "left").select(*groups, F.col("records_received").alias("records"), "completeness", "validity", F.bround(F.coalesce("field_accuracy", F.lit(0.0)), 4).alias("field_accuracy"), F.col("health_score").alias("health"), "status")
     return rows, report
 
 
-def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy | None = None, site: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, summary by system, field repairs).
 
-    The first page of each unhealthy layout is what repair sees. A layout is
-    extracted again if all its broken fields promote. mttr_ms is the wall time
-    of the one repair job over the number of layouts that it repaired.
+    ``pages`` has the layout, page_no, url and html of one site, or of many
+    with the ``site`` columns, which ``golden`` then has too. The first page of
+    each unhealthy site and layout is what repair sees; it is extracted again
+    if all its broken fields promote. mttr_ms is the wall time of the repair
+    job over the number of its plans.
     """
-    strategy = strategy or default_strategy()
-    plain, report = rows_of(pages, strategy, golden, expected)
+    strategy, site = strategy or default_strategy(), site or []
+    groups = [*site, "layout"]
+    plain, report = rows_of(pages, strategy, golden, expected, groups, site)
     plain, report = plain.cache(), report.cache()
-    sick = report.where("status != 'healthy'").select("layout", broken_fields().alias("broken_fields"))
-    first = pages.where("page_no = 1").join(sick, "layout").withColumn("strategy", F.lit(strategy.to_json()))
+    sick = report.where("status != 'healthy'").select(*groups, broken_fields().alias("broken_fields"))
+    first = pages.where("page_no = 1").join(sick, groups).withColumn("strategy", F.lit(strategy.to_json()))
     began = time.time()
-    repairs = repair(first, ["layout"], golden=golden)[0].cache()
-    plan = plans(repairs, ["layout"]).collect()  # one row per unhealthy layout
-    elapsed = (time.time() - began) * 1000
-    spark = pages.sparkSession
-    fixed = [(p.layout, proposed(strategy, p.field_repairs).to_json()) for p in plan if p.all_promote]
-    healed = plain
-    if fixed:
-        again = pages.join(F.broadcast(spark.createDataFrame(fixed, "layout string, strategy string")), "layout")
-        healed = plain.join(spark.createDataFrame(fixed, "layout string, _s string"), "layout", "left_anti").unionByName(rows_of(again, "strategy", golden, expected)[0])
-    tried = spark.createDataFrame([(p.layout, True, float(p.confidence), elapsed / len(plan)) for p in plan], "layout string, repair_attempted boolean, repair_confidence double, mttr_ms double")
+    repairs = repair(first, groups, golden=golden, site=site)[0].cache()
+    plan = with_proposed(plans(repairs, groups).withColumn("_old", F.lit(strategy.to_json())), "_old").drop("_old").cache()
+    each = (time.time() - began + _timed(plan)) * 1000 / max(1, plan.count())
+    fixed = plan.where("all_promote").select(*groups, F.col("proposed").alias("strategy"))
+    healed = rows_of(pages.join(fixed, groups), "strategy", golden, expected, groups, site)[0]
+    healed = plain.join(fixed, groups, "left_anti").unionByName(healed)
+    tried = plan.select(*groups, F.lit(True).alias("repair_attempted"), F.col("confidence").alias("repair_confidence"), F.lit(each).alias("mttr_ms"))
     none = {"repair_attempted": F.lit(False), "repair_confidence": F.lit(0.0), "mttr_ms": F.lit(0.0)}
     before = plain.withColumn("system", F.lit("baseline")).withColumns(none)
-    after = healed.join(tried, "layout", "left").fillna({"repair_attempted": False, "repair_confidence": 0.0, "mttr_ms": 0.0}).withColumn("system", F.lit("healing"))
+    after = healed.join(tried, groups, "left").fillna({"repair_attempted": False, "repair_confidence": 0.0, "mttr_ms": 0.0}).withColumn("system", F.lit("healing"))
     rows = before.unionByName(after)
-    return rows, summary(rows), repairs
+    return rows, summary(rows, groups), repairs
 
 
-def summary(rows: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """Runs, averages, repairs and their times by system; broken layouts are those unhealthy in the baseline."""
-    broken = rows.where((F.col("system") == baseline) & (F.col("status") != "healthy")).select("layout").distinct().withColumn("_broken", F.lit(True))
-    marked = rows.join(broken, "layout", "left").fillna(False, subset=["_broken"])
+def _timed(df: DataFrame) -> float:
+    began = time.time()
+    df.count()
+    return time.time() - began
+
+
+def summary(rows: DataFrame, groups: list[str] | None = None, baseline: str = "baseline") -> DataFrame:
+    """Runs, averages, repairs and their times by system; broken are the groups that are unhealthy in the baseline."""
+    groups = groups or ["layout"]
+    broken = rows.where((F.col("system") == baseline) & (F.col("status") != "healthy")).select(*groups).distinct().withColumn("_broken", F.lit(True))
+    marked = rows.join(broken, groups, "left").fillna(False, subset=["_broken"])
     tried = F.col("repair_attempted") & F.col("_broken")
     fixed = tried & (F.col("status") == "healthy")
     return marked.groupBy("system").agg(

@@ -48,8 +48,10 @@ def filled(record: Column | None = None) -> Column:
 def _merge(winner: Column, other: Column) -> Column:
     columns = [winner["pos"].alias("pos")]
     for f in (ID, *FIELDS):
-        value = F.when(winner[f].isNotNull() if f in KINDS else winner[f] != "", winner[f])
-        columns.append(F.coalesce(F.when(F.element_at(winner["loose"], f).isNull(), F.coalesce(value, other[f])), value).alias(f))
+        mine, yours = winner[f], other[f]
+        # an own empty text stays unless the other record has something
+        value = F.coalesce(mine, yours) if f in KINDS else F.when(mine != "", mine).when(yours != "", yours).otherwise(mine)
+        columns.append(F.when(F.element_at(winner["loose"], f).isNull(), value).otherwise(mine).alias(f))
     taken = F.map_filter(other["loose"], lambda k, v: ~F.map_contains_key(winner["loose"], k) & ~reduce(lambda c, f: c.when(k == f, present(f, winner)), FIELDS, F.when(F.lit(False), F.lit(True))).otherwise(F.lit(False)))
     return F.struct(*columns, F.map_concat(winner["loose"], taken).alias("loose"))
 

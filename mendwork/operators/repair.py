@@ -87,13 +87,15 @@ def repair(
     historical_values: DataFrame | None = None,
     extra: DataFrame | None = None,
     top_k: int = TOP_K,
+    site: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(field repairs, scored candidates).
 
     ``broken`` has a row per page with its keys (the url may be one), html,
     strategy (JSON) and ``broken_fields`` (array). A field repair has the
     winner, its scores, action and reason, and the number of candidates kept
-    (``top_k`` at most). A field without candidates is rejected.
+    (``top_k`` at most). A field without candidates is rejected. ``golden`` is
+    joined on ``pos`` and the ``site`` columns, which are among the keys.
     """
     held = [*dict.fromkeys([*keys, url])]
     parsed = parse_pages(broken, held, html, strategy)
@@ -104,7 +106,7 @@ def repair(
     listed = made.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("field", "gen_ord", "kind", "value", "attr", "transform"))).alias("candidates"))
     values = candidate_values(broken.join(listed, keys), keys, strategy, html)
     records = swapped_records(values, base, keys, url) if url in keys else swapped_records(values.join(broken.select(*held), keys), base, keys, url)
-    found = field_scores(records, [*keys, "gen_ord"], golden, historical_values)
+    found = field_scores(records, [*keys, "gen_ord"], golden, historical_values, site)
     # a candidate that gives no records scores zero, with the neutral share for its missing history
     scored = made.join(found, [*keys, "field", "gen_ord"], "left").fillna(0.0, subset=[*WEIGHTS, "total"])
     ranked = rank(scored, keys)
@@ -136,3 +138,13 @@ def proposed(strategy: Strategy, field_repairs: list) -> Strategy:
         if r["action"] in ("promote", "shadow"):
             fields[r["field"]] = Selector(r["kind"], r["value"], r["attr"], r["transform"])
     return Strategy(f"{strategy.name}-repair", strategy.record_selector, fields, strategy.next_page_selector, "repaired")
+
+
+def with_proposed(plan: DataFrame, strategy: str) -> DataFrame:
+    """Append the proposed strategy's JSON to plans; ``strategy`` names the column with the old one's."""
+
+    @F.udf("string")
+    def swap(old, repairs):
+        return proposed(Strategy.from_json(old), repairs).to_json()
+
+    return plan.withColumn("proposed", swap(F.col(strategy), F.col("field_repairs")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,13 @@ def shown(f: str, record: str = "") -> Column:
     return F.coalesce(own.cast("string"), F.element_at(loose, f))
 
 
-def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None = None, historical: DataFrame | None = None) -> DataFrame:
+def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None = None, historical: DataFrame | None = None, site: list[str] | None = None) -> DataFrame:
     """Five components and their total per group and field.
 
     ``records``: records under a candidate, with its ``field`` and consecutive
-    places ``pos`` in each group. ``golden``: records by ``pos`` to compare
-    with; without it, similarity is how even the values' lengths are.
+    places ``pos`` in each group. ``golden``: records by ``pos`` (and the
+    ``site`` columns, which are among the groups) to compare with; without it,
+    similarity is how even the values' lengths are.
     ``historical`` (field, value as text): former values; without any for a
     field, consistency is 0.5. Components and total are rounded to 4 places,
     the total from the unrounded ones.
@@ -52,8 +55,8 @@ def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None
         *[F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")), F.lit(0.0)).alias(a) for c, a in (("_ok", "schema_validity"), ("_there", "completeness"), ("_typed", "type_validity"))],
     ]
     if golden is not None:
-        want = golden.select("pos", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), shown(f).alias("_g")) for f in FIELDS])).alias("x")).select("pos", "x.field", "x._g", F.lit(True).alias("_known"))
-        rows = rows.join(want, ["pos", "field"], "left")
+        want = golden.select(*(site or []), "pos", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), shown(f).alias("_g")) for f in FIELDS])).alias("x")).select(*(site or []), "pos", "x.field", "x._g", F.lit(True).alias("_known"))
+        rows = rows.join(want, [*(site or []), "pos", "field"], "left")
         # fields beyond the schema are null on both sides
         hit = F.col("_v").eqNullSafe(F.col("_g")).cast("int")
         aggregates.append(F.coalesce(F.sum(F.when(F.col("_known"), hit)) / F.count("_known"), F.lit(0.0)).alias("similarity"))
@@ -104,10 +107,10 @@ def gate(total: str = "total", completeness: str = "completeness", schema: str =
     return action, reason
 
 
-def field_accuracy(records: DataFrame, golden: DataFrame, groups: list[str]) -> DataFrame:
-    """Share of equal values over the places that both have, all required fields."""
+def field_accuracy(records: DataFrame, golden: DataFrame, groups: list[str], site: list[str] | None = None) -> DataFrame:
+    """Share of equal values over the places (of a site) that both have, all required fields."""
     a, b = records.alias("a"), golden.alias("b")
-    both = a.join(b, F.col("a.pos") == F.col("b.pos"))
+    both = a.join(b, reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("pos", *(site or []))]))
     hits = sum((shown(f, "a.").eqNullSafe(shown(f, "b.")).cast("int") for f in FIELDS), F.lit(0))
     return both.groupBy(*[F.col(f"a.{g}").alias(g) for g in groups]).agg((F.sum(hits) / (F.count("*") * len(FIELDS))).alias("field_accuracy"))
 
