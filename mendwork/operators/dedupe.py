@@ -11,12 +11,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.memo import memo
 from ..functions.normalize import let
 from ..functions.urls import canonical
-from .schema import FIELDS, ID, KINDS
+from .schema import FIELDS, ID, KINDS, RECORD
 
 
+@memo
 def dedupe_key(absent_url: bool = False) -> Column:
     """The strongest key of a record: id, canonical address, or a hash of name and address.
 
@@ -56,6 +59,17 @@ def _merge(winner: Column, other: Column) -> Column:
     return F.struct(*columns, F.map_concat(winner["loose"], taken).alias("loose"))
 
 
+@memo
+def _fold() -> Column:
+    """A group's records, merged in the order of their places."""
+    own = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD])
+    return F.aggregate(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), own.alias("r"))), lambda x, y: x["at"] - y["at"]),
+        F.lit(None).cast(T.StructType(list(RECORD))),
+        lambda a, x: F.when(a.isNull(), x["r"]).when(filled(x["r"]) > filled(a), _merge(x["r"], a)).otherwise(_merge(a, x["r"])),
+    )
+
+
 def dedupe(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(unique records by page, report by page).
 
@@ -64,17 +78,10 @@ def dedupe(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     Empty input gives no rows in both.
     """
     rows = records.withColumn("_key", dedupe_key())
-    names = ["pos", ID, *FIELDS, "loose"]
-    own = F.struct(*[F.col(n) for n in names])
-    kind = rows.select(own.alias("x")).schema["x"].dataType
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), own.alias("r"))), lambda x, y: x["at"] - y["at"]),
-        F.lit(None).cast(kind),
-        lambda a, x: F.when(a.isNull(), x["r"]).when(filled(x["r"]) > filled(a), _merge(x["r"], a)).otherwise(_merge(a, x["r"])),
-    )
+    fold = _fold()
     groups = rows.groupBy(*keys, "_key").agg(F.min("pos").alias("_first"), fold.alias("_r"), F.count("_key").alias("_n")).where("_n > 0")
     place = F.row_number().over(_by(keys, "_first")) - 1
-    unique = groups.select(*keys, place.alias("pos"), *[F.col("_r")[n].alias(n) for n in names[1:]])
+    unique = groups.select(*keys, place.alias("pos"), *[F.col("_r")[n].alias(n) for n in RECORD.names[1:]])
     by_kind = F.split_part("_key", F.lit(":"), F.lit(1))
     report = rows.groupBy(*keys).agg(
         F.count("*").alias("input_count"),

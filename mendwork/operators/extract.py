@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import normalize as N
+from ..functions.memo import memo
 from ..functions.urls import base_of, join
 from . import dom
 from .dedupe import dedupe
@@ -87,13 +88,19 @@ def typed(field: str, raw: Column, transform: Column, base: Column) -> tuple[Col
 def records_of(parsed: DataFrame, keys: list[str], url: Column) -> DataFrame:
     """Typed records of parsed pages in document order, before deduplication."""
     rows = parsed.select(*keys, base_of(url).alias("_base"), F.posexplode("records").alias("pos", "_r"))
+    return rows.select(*keys, "pos", *record_columns())
+
+
+@memo
+def record_columns() -> list[Column]:
+    """Typed fields and loose values from the raw values in ``_r`` and the base address in ``_base``."""
     columns, loose = [], []
     for f in (ID, *FIELDS):
         got = F.col("_r")[f]
         value, other = typed(f, got["raw"], got["transform"], F.col("_base"))
         columns.append(value.alias(f))
         loose.append(F.when(other.isNotNull(), F.struct(F.lit(f).alias("key"), other.alias("value"))))
-    return rows.select(*keys, "pos", *columns, F.map_from_entries(F.filter(F.array(*loose), lambda x: x.isNotNull())).alias("loose"))
+    return [*columns, F.map_from_entries(F.filter(F.array(*loose), lambda x: x.isNotNull())).alias("loose")]
 
 
 class Extraction:

@@ -8,10 +8,12 @@ signals are expressions over those counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memo import memo
 from ..functions.normalize import float_text
 from .dedupe import filled, present
 from .rules import Rule, default_rules, violations
@@ -51,37 +53,49 @@ def health(
     is there. Ratios are rounded to 4 places (half even), the status comes from
     the unrounded score.
     """
-    rules = list(default_rules() if rules is None else rules)
-    checks = [c for r in rules for c in r.checks]
-    codes = list(dict.fromkeys(c.code for c in checks))
-    fields = list(dict.fromkeys(c.field for c in checks))
+    checks = tuple((c.field, c.code) for r in (default_rules() if rules is None else rules) for c in r.checks)
     keys = list(keys)
     per_run = isinstance(expected, str) and runs is None
     rows = records.withColumn("_v", violations(rules))
+    sums = rows.groupBy(*keys).agg(*_counts(checks), *([F.max(expected).alias(expected)] if per_run and expected not in keys else []))
+    if runs is not None:
+        sums = runs.join(sums, keys, "left")
+        numbers = [c for c in sums.columns if c == "received" or c.startswith(("_code_", "_field_", "_null_")) or c in ("_filled", "_valid", "_given", "_price_n", "_url_n", "_name_n")]
+        sums = sums.fillna(0, subset=numbers)
+    unrounded, columns = _report(checks, expected, baseline_null_rates, weights, thresholds)
+    return sums.select("*", *unrounded[0]).select("*", unrounded[1]).select(*keys, *columns)
+
+
+@memo
+def _counts(checks: tuple[tuple[str, str], ...]) -> list[Column]:
+    """Aggregates of a run's records with their violations ``_v``."""
+    codes, fields = list(dict.fromkeys(c for _, c in checks)), list(dict.fromkeys(f for f, _ in checks))
     count = lambda part, value: F.sum(F.size(F.filter("_v", lambda v: v[part] == value))).cast("bigint")
 
     def first(f: str) -> Column:
         own = F.filter("_v", lambda v: v["field"] == f)
         return F.min(F.when(F.size(own) > 0, F.struct("pos", F.element_at(own, 1)["ord"].alias("ord"))))
 
-    price, link, name = F.col("price"), F.when(F.col("product_url") != "", F.col("product_url")), F.when(F.col("product_name") != "", F.col("product_name"))
+    given = [F.when(F.col(f).isNotNull() | F.coalesce(F.map_contains_key("loose", f), F.lit(False)), 1).otherwise(0) for f in FIELDS]
     same = lambda x, n: [F.count(x).alias(f"_{n}_n"), F.min(x).alias(f"_{n}_lo"), F.max(x).alias(f"_{n}_hi")]
-    sums = rows.groupBy(*keys).agg(
+    text = lambda f: F.when(F.col(f) != "", F.col(f))
+    return [
         F.count("*").alias("received"),
         F.sum(filled()).alias("_filled"),
         F.count_if(F.size("_v") == 0).alias("_valid"),
-        F.sum(sum((F.when(F.col(f).isNotNull() | F.coalesce(F.map_contains_key("loose", f), F.lit(False)), 1).otherwise(0) for f in FIELDS), F.lit(0))).alias("_given"),
+        F.sum(reduce(Column.__add__, given)).alias("_given"),
         *[count("code", c).alias(f"_code_{c}") for c in codes],
         *[count("field", f).alias(f"_field_{f}") for f in fields],
         *[first(f).alias(f"_first_{f}") for f in fields],
         *[F.count_if(~present(f)).alias(f"_null_{f}") for f in FIELDS],
-        *same(price, "price"), *same(link, "url"), *same(name, "name"),
-        *([F.max(expected).alias(expected)] if per_run and expected not in keys else []),
-    )
-    if runs is not None:
-        sums = runs.join(sums, keys, "left")
-        numbers = [c for c in sums.columns if c == "received" or c.startswith(("_code_", "_field_", "_null_")) or c in ("_filled", "_valid", "_given", "_price_n", "_url_n", "_name_n")]
-        sums = sums.fillna(0, subset=numbers)
+        *same(F.col("price"), "price"), *same(text("product_url"), "url"), *same(text("product_name"), "name"),
+    ]
+
+
+@memo
+def _report(checks: tuple[tuple[str, str], ...], expected: int | str | None, baseline_null_rates: str | None, weights: HealthWeights, thresholds: HealthThresholds):
+    """The unrounded ratios, the score from them, and the report's columns from both."""
+    codes, fields = list(dict.fromkeys(c for _, c in checks)), list(dict.fromkeys(f for f, _ in checks))
     n = F.col("received")
     e = F.col(expected) if isinstance(expected, str) else F.lit(expected).cast("bigint")
     completeness = F.least(F.lit(1.0), F.col("_filled") / F.greatest(F.lit(1), n * len(FIELDS)))
@@ -89,10 +103,9 @@ def health(
     wrong = F.col("_code_wrong_type") if "wrong_type" in codes else F.lit(0)
     consistent = F.when(F.col("_given") == 0, F.lit(1.0)).otherwise(1.0 - wrong / F.col("_given"))
     steady = F.when(e.isNull() | (e == 0), (n > 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs(n - e) / e))
-    scored = sums.select("*", completeness.alias("_c"), validity.alias("_vd"), consistent.alias("_s"), steady.alias("_r"))
+    ratios = [completeness.alias("_c"), validity.alias("_vd"), consistent.alias("_s"), steady.alias("_r")]
     score = F.lit(weights.completeness) * F.col("_c") + F.lit(weights.validity) * F.col("_vd") + F.lit(weights.schema_consistency) * F.col("_s") + F.lit(weights.record_consistency) * F.col("_r")
     rates = {f: F.when(n > 0, F.col(f"_null_{f}") / n).otherwise(F.lit(1.0)) for f in FIELDS}
-    scored = scored.withColumn("_score", score)
     broken = F.array_min(F.filter(F.array(*[F.when((n > 0) & (F.col(f"_field_{f}") / n >= thresholds.field_broken), F.struct((-F.col(f"_field_{f}")).alias("k"), F.col(f"_first_{f}").alias("at"), F.lit(f).alias("f"))) for f in fields]), lambda x: x.isNotNull()))
     pct = lambda x: F.format_string("%.2f", x)
     signals = [
@@ -114,8 +127,7 @@ def health(
         F.when(alike("name"), F.concat(F.lit("identical_product_names:"), _quoted(F.col("_name_lo")))),
     ]
     status = F.when(F.col("_score") >= thresholds.healthy, "healthy").when(F.col("_score") >= thresholds.warning, "warning").otherwise("repair_required")
-    return scored.select(
-        *keys,
+    columns = [
         e.alias("records_expected"),
         n.alias("records_received"),
         *[F.bround(c, 4).alias(a) for c, a in (("_c", "completeness"), ("_vd", "validity"), ("_s", "schema_consistency"), ("_r", "record_consistency"), ("_score", "health_score"))],
@@ -126,7 +138,8 @@ def health(
         F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.bround(rates[f], 4))]).alias("null_rates"),
         F.create_map(*[x for k, v in weights.__dict__.items() for x in (F.lit(k), F.lit(v))]).alias("weights"),
         F.create_map(*[x for k, v in thresholds.__dict__.items() for x in (F.lit(k), F.lit(v))]).alias("thresholds"),
-    )
+    ]
+    return (ratios, score.alias("_score")), columns
 
 
 def broken_fields(share: float = 0.8) -> Column:

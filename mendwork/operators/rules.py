@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memo import memo
 from .dedupe import present
 from .schema import FIELDS, ID, KINDS
 
@@ -50,6 +51,7 @@ def _text(field: str) -> Column:
     return F.coalesce(F.col(field) if field not in KINDS else F.element_at("loose", field), F.lit(""))
 
 
+@memo
 def default_rules() -> list[Rule]:
     name = F.lower(F.trim(_text("product_name")))
     numbers = {f: ("int" if KINDS[f] == "bigint" else "number") for f in KINDS}
@@ -80,7 +82,16 @@ def default_rules() -> list[Rule]:
 
 def violations(rules: Sequence[Rule] | None = None) -> Column:
     """Array of (field, code, message, ord) of one record, in the order of the rules."""
-    checks = [c for r in (default_rules() if rules is None else rules) for c in r.checks]
+    return _default_violations() if rules is None else _violations(rules)
+
+
+@memo
+def _default_violations() -> Column:
+    return _violations(default_rules())
+
+
+def _violations(rules: Sequence[Rule]) -> Column:
+    checks = [c for r in rules for c in r.checks]
     entries = [F.when(c.condition, F.struct(F.lit(c.field).alias("field"), F.lit(c.code).alias("code"), F.lit(c.message).alias("message"), F.lit(i).alias("ord"))) for i, c in enumerate(checks)]
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 

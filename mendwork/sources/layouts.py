@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memo import memo
+
 PAGE_SIZE = 10
 
 #: the layouts and whether the default strategy breaks on them
@@ -31,6 +33,7 @@ def _tag(name: str, mark: str, *inner: Column | str) -> Column:
     return F.concat(F.lit(f"<{name}{attr}>"), *[F.lit(i) if isinstance(i, str) else i for i in inner], F.lit(f"</{name}>"))
 
 
+@memo
 def card(layout: str) -> Column:
     """One product card; columns as in the record schema, all non-null."""
     testid, nested, decoy = layout == "v3_dataattr", layout in ("v4_change_nesting", "v9_combined"), layout in ("v7_decoy", "v9_combined")
@@ -60,6 +63,7 @@ def card(layout: str) -> Column:
     return F.concat(F.lit('<article class="product-card" data-product-id="'), escaped("product_id"), F.lit('">'), wrap("card-inner", body), F.lit("</article>\n"))
 
 
+@memo
 def _pagination(layout: str) -> Column:
     page, total = F.col("page_no"), F.col("_pages")
     numbers = F.sequence(F.lit(1), total)
