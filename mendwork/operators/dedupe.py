@@ -87,9 +87,9 @@ def dedupe(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
         F.count("*").alias("input_count"),
         F.countDistinct("_key").alias("output_count"),
         F.count_if(F.col("_key").isNull()).alias("dropped_no_key"),
-        *[F.count_if(by_kind == k).alias(k) for k in ("id", "url", "hash")],
+        *[F.count_if(by_kind == k).alias(f"_{k}") for k in ("id", "url", "hash")],
     )
-    kinds = F.map_filter(F.create_map(*[x for k in ("id", "url", "hash") for x in (F.lit(k), F.col(k))]), lambda _, n: n > 0)
+    kinds = F.map_filter(F.create_map(*[x for k in ("id", "url", "hash") for x in (F.lit(k), F.col(f"_{k}"))]), lambda _, n: n > 0)
     merged = F.col("input_count") - F.col("dropped_no_key") - F.col("output_count")
     return unique, report.select(*keys, "input_count", "output_count", "dropped_no_key", merged.alias("merged_duplicates"), kinds.alias("keys_by_kind"))
 
