@@ -92,4 +92,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_quality_rules, op2_simhash, op3_warc_fixity, op4_packing, op5_lm_scoring, op6_token_attribution, op7_html_extraction, op8_decontamination, op9_quality_classifier, op10_language_id)}
 
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+_OP8 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, k, array_to_string(w[i:i + k - 1], ' ') AS p
+ FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k)),
+h AS (SELECT x.doc_id, x.i, x.k, p.item FROM x JOIN p USING (k, p)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def _levels(replica: str) -> str:
+    """Merkle levels of a replica's leaves in SQL."""
+    out, below = "", f"{replica}0"
+    for level, step in enumerate(("pos // 65536", "pos // 16", "pos // 16", "0"), 1):
+        out += f", {replica}{level} AS (SELECT file, up AS pos, sha256(string_agg(pos || ':' || hash, ',' ORDER BY pos)) AS hash FROM (SELECT *, {step} AS up FROM {below}) GROUP BY file, up)"
+        below = f"{replica}{level}"
+    return out
+
+
+_OP3 = f"""WITH r AS (SELECT page_id, page_id // 1000 AS file, concat_ws(chr(10), coalesce(url, ''), coalesce(html, '')) AS rec FROM pages),
+o AS (SELECT *, strlen(rec) AS n, coalesce(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r),
+a0 AS (SELECT file, pos, n, sha256(rec) AS hash FROM o), b0 AS (SELECT file, pos, n, sha256(CASE WHEN page_id % 97 = 5 THEN rec || 'x' ELSE rec END) AS hash FROM o WHERE page_id % 89 <> 7){_levels('a')}{_levels('b')},
+s AS (SELECT file, count(*) AS records, sum(n)::BIGINT AS bytes FROM a0 GROUP BY file),
+g AS (SELECT file, count(*) AS k, string_agg(printf('%010d:%s', a0.pos, CASE WHEN b0.hash IS NULL THEN 'missing' ELSE 'corrupt' END), ',' ORDER BY a0.pos) AS l
+ FROM a0 LEFT JOIN b0 USING (file, pos) WHERE b0.hash IS DISTINCT FROM a0.hash GROUP BY file)
+SELECT CAST(file AS VARCHAR) AS file, records, bytes, a4.hash AS root_a, b4.hash AS root_b, a4.hash IS NOT DISTINCT FROM b4.hash AS intact, coalesce(k, 0) AS n_damaged, coalesce(l, '') AS damaged
+FROM a4 JOIN s USING (file) LEFT JOIN b4 USING (file) LEFT JOIN g USING (file)"""
+
+ORACLES: dict[str, str] = {"op3_warc_fixity": _OP3, "op8_decontamination": _OP8}
