@@ -27,8 +27,18 @@ def leaves(records: DataFrame, file: Column, offset: Column, payload: Column) ->
     Rows without a file or an offset cannot be placed and are left out; of
     repeated records at one offset, the one with the smallest hash counts.
     """
+    size, digest = digest_of(payload)
+    return placed(records.select(file.cast("string").alias("file"), offset.cast("long").alias("offset"), size.alias("bytes"), digest.alias("hash")))
+
+
+def digest_of(payload: Column) -> tuple[Column, Column]:
+    """Bytes and SHA-256 of a record; null counts as empty."""
     data = F.coalesce(payload.cast("binary"), F.lit(b""))
-    rows = records.select(file.cast("string").alias("file"), offset.cast("long").alias("offset"), F.octet_length(data).cast("long").alias("bytes"), F.sha2(data, 256).alias("hash"))
+    return F.octet_length(data).cast("long"), F.sha2(data, 256)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Leaves from (file, offset, bytes, hash) of records hashed elsewhere."""
     return rows.dropna(subset=["file", "offset"]).groupBy("file", "offset").agg(F.min(F.struct("hash", "bytes")).alias("r")).select("file", "offset", "r.bytes", "r.hash")
 
 

@@ -48,16 +48,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as records of files of 1,000, and a replica in which some are altered or missing."""
     record = F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    file = F.floor(F.col("page_id") / 1000)
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    sized = pages.select("page_id", F.octet_length(record).cast("long").alias("n"), F.sha2(record, 256).alias("h"))
-    by_file = Window.partitionBy(F.floor(F.col("page_id") / 1000)).orderBy("page_id", "n", "h").rowsBetween(Window.unboundedPreceding, -1)
-    # the replica's bytes are hashed again from the pages; only the layout is shared
-    placed = cut_lineage(sized.withColumn("offset", F.coalesce(F.sum("n").over(by_file), F.lit(0))).select("page_id", "offset"))
-    both = pages.join(placed, "page_id")
-    first = fixity.leaves(both, file, F.col("offset"), record)
     altered = F.when(F.col("page_id") % 97 == 5, F.concat(record, F.lit("x"))).otherwise(record)
-    second = fixity.leaves(both.where(F.col("page_id") % 89 != 7), file, F.col("offset"), altered)
+    (size, own), (_, other) = fixity.digest_of(record), fixity.digest_of(altered)
+    # both replicas' bytes are hashed where the pages are read; what moves is a row of hashes
+    file = F.floor(F.col("page_id") / 1000)
+    hashed = table(spark, sf_dir, "pages").select("page_id", file.cast("string").alias("file"), size.alias("bytes"), own.alias("a"), other.alias("b"))
+    before = Window.partitionBy("file").orderBy("page_id", "bytes", "a").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut_lineage(hashed.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0))))
+    first = fixity.placed(rows.select("file", "offset", "bytes", F.col("a").alias("hash")))
+    second = fixity.placed(rows.where(F.col("page_id") % 89 != 7).select("file", "offset", "bytes", F.col("b").alias("hash")))
     roots, damage = fixity.audit(first, second)
     listed = damage.groupBy("file").agg(F.count("*").alias("n_damaged"), F.array_join(F.array_sort(F.collect_list(F.format_string("%010d:%s", "offset", "status"))), ",").alias("damaged"))
     return roots.join(listed, "file", "left").select("file", "records", "bytes", "root_a", "root_b", "intact", F.coalesce("n_damaged", F.lit(0)).cast("long").alias("n_damaged"), F.coalesce("damaged", F.lit("")).alias("damaged"))
