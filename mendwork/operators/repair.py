@@ -8,12 +8,13 @@ fields come from the page's base extraction, and html never leaves its task.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import normalize as N
+from ..functions.memo import memo
 from ..functions.urls import base_of
 from . import dom
 from .candidates import generate
@@ -54,25 +55,30 @@ def candidate_values(pages: DataFrame, keys: list[str], strategy: str = "strateg
     return pages.select(*keys, F.col(html).alias("_html"), F.col(strategy).alias("_strategy"), "candidates").mapInArrow(run, schema)
 
 
-def swapped_records(values: DataFrame, base: DataFrame, keys: list[str], url: str) -> DataFrame:
-    """Records as they would be under each candidate, deduplicated again by page and candidate."""
-    rows = values.select(*keys, "field", "gen_ord", "transform", base_of(F.col(url)).alias("_base"), F.posexplode("raws").alias("pos", "raw"))
-    joined = rows.join(base, [*keys, "pos"])
-    # one value of each kind per row; the field then picks the one that fits its type
+@memo
+def _swap() -> tuple[list[Column], list[Column]]:
+    """One value of each kind from ``raw``, and the record's columns, of which the field's own takes the value of its type."""
     raw, transform = F.col("raw"), F.col("transform")
-    read = joined.select(
-        "*",
+    read = [
         N.number_of(raw, transform).alias("_number"),
         F.when(transform.isin(*N.INTS), N.parse_int(raw)).alias("_whole"),
         F.when(F.col("field") == "availability", N.parse_availability(N.text_of(raw, transform, F.col("_base"), "availability"))).otherwise(N.text_of(raw, transform, F.col("_base"), "")).alias("_text"),
-    )
+    ]
     as_text = F.coalesce(N.float_text(F.col("_number")), F.col("_whole").cast("string"))
     kinds = {"double": (F.coalesce(F.col("_number"), F.col("_whole").cast("double")), F.col("_text")), "bigint": (F.col("_whole"), F.coalesce(F.col("_text"), N.float_text(F.col("_number")))), None: (F.col("_text"), as_text)}
     columns = [F.col(ID), *[F.when(F.col("field") == f, kinds[KINDS.get(f)][0]).otherwise(F.col(f)).alias(f) for f in FIELDS]]
     other = F.when(F.col("field").isin(*[f for f in FIELDS if KINDS.get(f) == "double"]), kinds["double"][1]).when(F.col("field") == "review_count", kinds["bigint"][1]).otherwise(as_text)
     kept = F.map_filter("loose", lambda k, _: k != F.col("field"))
     loose = F.when(other.isNotNull(), F.map_concat(kept, F.create_map("field", other))).otherwise(kept)
-    records = read.select(*keys, "field", "gen_ord", "pos", *columns, loose.alias("loose"))
+    return read, [*columns, loose.alias("loose")]
+
+
+def swapped_records(values: DataFrame, base: DataFrame, keys: list[str], url: str) -> DataFrame:
+    """Records as they would be under each candidate, deduplicated again by page and candidate."""
+    rows = values.select(*keys, "field", "gen_ord", "transform", base_of(F.col(url)).alias("_base"), F.posexplode("raws").alias("pos", "raw"))
+    joined = rows.join(base, [*keys, "pos"])
+    read, columns = _swap()
+    records = joined.select("*", *read).select(*keys, "field", "gen_ord", "pos", *columns)
     return dedupe(records, [*keys, "field", "gen_ord"])[0]
 
 
