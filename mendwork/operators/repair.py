@@ -20,7 +20,7 @@ from . import dom
 from .candidates import generate
 from .dedupe import dedupe
 from .extract import parse_pages, records_of
-from .schema import FIELDS, ID, KINDS, Strategy
+from .schema import FIELDS, ID, KINDS, Selector, Strategy
 from .score import TOP_K, WEIGHTS, field_scores, gate, rank
 
 VALUES = T.StructType([
@@ -137,8 +137,6 @@ def plans(repairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def proposed(strategy: Strategy, field_repairs: list) -> Strategy:
     """The strategy with promoted and shadow winners in place."""
-    from .schema import Selector
-
     fields = dict(strategy.fields)
     for r in field_repairs:
         if r["action"] in ("promote", "shadow"):

@@ -348,7 +348,7 @@ QUERIES = {
         url_canonical, url_dup_groups, tracking_param_stats, store_url_resolve, snapshot_meta, rule_violations, violations_by_code, violations_by_field, valid_record_rate,
         null_rates, health_components, health_status, failure_signals, anomaly_signals, broken_field_list, detect_severity, newly_broken, detector_confusion,
         dedupe_report, dedupe_key_kinds, dedupe_fold, page_extract, page_facts, dom_fingerprints, layout_extract, layout_health, layout_accuracy,
-        candidate_counts, repair_winners, top_candidates, benchmark_summary, scraper_state, latest_runs, repair_history, version_numbers, rollback_state,
+        candidate_counts, repair_winners, top_candidates, scraper_state, latest_runs, repair_history, version_numbers, rollback_state,
         similarity_lengths, historical_overlap, golden_accuracy, event_rates,
     )},
 }

@@ -141,7 +141,6 @@ ORACLES = {
     "layout_health": f"WITH {_P}, {_L} SELECT site, layout, CASE WHEN {_BROKEN_LIST} <> '' THEN CASE WHEN 0.3 * (1 - CASE WHEN layout = 'v3_dataattr' THEN 6 ELSE 1 END / 8.0) + 0.2 + 0.2 * count(*) / 20 >= 0.7 THEN 'warning' ELSE 'repair_required' END WHEN 0.8::DOUBLE + 0.2::DOUBLE * count(*) / 20 >= 0.9 THEN 'healthy' ELSE 'warning' END AS status, {_BROKEN_LIST} AS broken FROM p, l GROUP BY site, layout",
     "layout_accuracy": f"WITH {_P}, {_L} SELECT layout, CAST(count(*) * CASE layout WHEN 'v3_dataattr' THEN 2 " + " ".join(f"WHEN '{k}' THEN 7" for k in _BROKEN if k != "v3_dataattr") + " ELSE 8 END AS BIGINT) AS \"right\", count(*) * 8 AS cells FROM p, l GROUP BY layout",
     "candidate_counts": f"WITH {_P}, c(layout, field, generated) AS (VALUES {', '.join(f'({k!r}, {f!r}, {n})' for k, f, n in _COUNTS)}) SELECT DISTINCT site, layout, field, CAST(generated AS BIGINT) AS generated, CAST(5 AS BIGINT) AS kept FROM p, c WHERE site IN (SELECT (p_partkey // 20) FROM part WHERE p_partkey % 20 < 10)",
-    "benchmark_summary": f"WITH {_P}, s AS (SELECT count(*) AS n FROM (SELECT site FROM p GROUP BY site HAVING count(*) = 20)) SELECT 'baseline' AS system, 11 * n AS runs, round((7 + 3 * 0.875 + 0.25) / 11, 3) AS avg_completeness, round((7 + 3 * 0.875 + 0.25) / 11, 3) AS avg_field_accuracy, 7 * n AS healthy_runs, 0 AS repair_attempts, 0 AS repair_successes, 0 AS false_repairs FROM s WHERE n > 0 UNION ALL SELECT 'healing', 11 * n, 1.0, 1.0, 11 * n, 4 * n, 4 * n, 0 FROM s WHERE n > 0",
     "scraper_state": "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "latest_runs": "SELECT user_id AS scraper, event_id AS id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "repair_history": "SELECT user_id AS scraper, event_id AS id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",
