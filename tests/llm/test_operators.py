@@ -212,3 +212,31 @@ def test_fixity_finds_what_differs(spark):
     roots, damage = fixity.audit(leaf(rows), leaf(worse), range_bytes=4096, fan=4, height=3)
     assert {r.file: r.intact for r in roots.collect()} == {"f0": True, "f1": False, "f2": False}
     assert sorted((r.file, r.offset, r.status) for r in damage.collect()) == [("f1", 5000, "corrupt"), ("f2", 99000, "missing"), ("f2", 777_000, "extra")]
+
+
+def test_contexts_are_counted_exactly_and_grow(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"rare{rng.randint(0, 40)}"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    counts = mixing.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).localCheckpoint()
+    coder = mixing.Coder(mixing.vocabulary(counts, 3))
+    *units, at, _ = coder.units([t.encode().split() for t in texts])
+    counted = at % 2 == 0
+    shard = mixing.Shard(coder, units, counted)
+    shape = np.where(units[0] > coder.escape + 1, units[2], coder.shape_of(units[0]))
+    for k, key in enumerate((units[:1], units[:2], [shape])):
+        context = list(zip(*(x.tolist() for x in key)))
+        seen = Counter((context[u], n, b) for u, n, b in zip(shard.unit.tolist(), shard.node.tolist(), shard.bit.tolist()) if counted[u])
+        n0, n1 = (np.array([seen[context[u], n, b] for u, n in zip(shard.unit.tolist(), shard.node.tolist())]) for b in (0, 1))
+        assert (shard.odds[k + 1] == mixing.quantised(n0, n1) >> 8).all() and (shard.sure[k] == np.digitize(n0 + n1, [1, 4, 30])).all()
+    # shards follow the tokens far beyond 2^20; a frequent context is spread
+    many = mixing.vocabulary(spark.createDataFrame([(w.encode(), 1 << 30) for w in ("", "a", "b")], "word binary, n long"))
+    assert many.shards * mixing.SHARD >= 3 << 30 and many.spread[1] >= 1000
+    near, before = np.full(100_000, 1), np.arange(100_000)
+    assert len(np.unique(mixing.Coder(many).shard(near, before))) >= 1000
+    # packed units come back as they were, and shards and pieces of shards score each row once
+    columns = [np.arange(300) * k % 256 for k in range(1, 7)]
+    columns[0].sort()
+    assert all((a == b).all() for a, b in zip(columns, mixing.unpacked(mixing.packed(columns), 300)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c"] * 400 + texts)], "doc_id long, text string").repartition(8)
+    got = mixing.score_texts(docs, F.lit(True), F.col("doc_id") % 5 == 4, max_words=3, shard=64).collect()
+    assert sorted(r.doc_id for r in got) == list(range(460)) and all(r.score < 0 for r in got)
