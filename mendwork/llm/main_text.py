@@ -7,7 +7,9 @@ between the clusters' means (Weninger et al. 2010; Otsu's criterion finds the
 threshold). The lines above it mark where the content is; the content region
 is the smallest element around most of their text, and all its lines that are
 not boilerplate are returned, so a short heading or paragraph inside an
-article stays.
+article stays. A tag, class, id or role that names boilerplate counts only if
+the element does not hold most of the text above the threshold: page wrappers
+("page with-sidebar", one form around all) do not empty a page.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ _NAMES = frozenset(
     "footer sidebar side aside widget widgets related recommended cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share "
     "sharing social comment comments commentlist disqus replies reply respond pagination pager tags legal copyright disclaimer toolbar outbrain taboola hidden".split()
 )
+#: what may stand in head; any other tag, or text, ends it, as </head> may be left out
+_HEAD = frozenset("html head title base link meta style script noscript template object".split())
 #: an opening tag closes an open one of these, as far up as the stop element
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
 _SPACE = re.compile(r"\s+")
@@ -48,8 +52,10 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, node, silent, boilerplate
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, node, silent, hidden or boilerplate in itself
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.named: set[int] = set()  # nodes that a tag, class, id or role calls boilerplate
+        self.hidden: set[int] = set()
         self.parts: list[str] = []
         self.tags = self.free = self.nodes = self.links = 0
         self.content: dict[int, str] = {}
@@ -58,7 +64,7 @@ class _Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             path = tuple(n for _, n, _, _ in self.stack)
-            self.lines.append((text, self.free, self.tags, path, bool(self.stack) and self.stack[-1][3]))
+            self.lines.append((text, self.free, self.tags, path))
             self.tags = 0
         self.parts, self.free = [], 0
 
@@ -70,13 +76,23 @@ class _Lines(HTMLParser):
                     return True
             elif key == "role" and value and value.lower() in _ROLES:
                 return True
-            elif key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
-            elif key == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
         return False
 
+    @staticmethod
+    def _unseen(attrs: list) -> bool:
+        return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
+
+    def _end_head(self) -> None:
+        if any(t == "head" for t, *_ in self.stack) and self.stack[-1][0] in ("html", "head"):
+            self._flush()
+            self._close("head")
+
     def handle_starttag(self, tag, attrs):
+        if tag not in _HEAD:
+            if tag == "body" and any(t == "head" for t, *_ in self.stack):
+                self._flush()
+                self._close("head")
+            self._end_head()
         self.tags += 1
         if tag == "br" or tag == "wbr":
             self.parts.append(" " if tag == "br" else "")
@@ -93,10 +109,14 @@ class _Lines(HTMLParser):
         _, _, silent, boiler = self.stack[-1] if self.stack else ("", 0, False, False)
         self.nodes += 1
         inside = any(n in self.content for _, n, _, _ in self.stack)
-        own = tag in _BOILERPLATE and not (tag == "header" and inside) or tag not in ("html", "body", "article", "main") and self._names(tag, attrs)
-        if tag in _CONTENT and not boiler:
+        if tag in _BOILERPLATE and not (tag == "header" and inside) or tag not in ("html", "body", "article", "main") and self._names(tag, attrs):
+            self.named.add(self.nodes)
+        unseen = tag not in ("html", "body", "article", "main") and self._unseen(attrs)
+        if unseen:
+            self.hidden.add(self.nodes)
+        if tag in _CONTENT:
             self.content[self.nodes] = tag
-        self.stack.append((tag, self.nodes, silent or tag in _SILENT, boiler or own))
+        self.stack.append((tag, self.nodes, silent or tag in _SILENT, boiler or unseen))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -121,6 +141,8 @@ class _Lines(HTMLParser):
         self._close(tag, () if tag in _BLOCKS else tuple(_BLOCKS))
 
     def handle_data(self, data):
+        if data.strip() and self.stack and self.stack[-1][0] == "head":
+            self._end_head()
         if self.stack and self.stack[-1][2]:
             return
         self.parts.append(data)
@@ -147,6 +169,26 @@ def _threshold(x: np.ndarray) -> float:
     return float((v[at] + v[at + 1]) / 2)
 
 
+def _boilerplate(parser: _Lines, lines: list, ratio: np.ndarray) -> set[int]:
+    """The elements named as boilerplate, but for those that hold the page's text.
+
+    These hold over half of the text above the threshold and over half of all
+    text outside links, and no article or main outside them has lines above
+    the threshold. If nothing would be left, all lines stay.
+    """
+    sums: dict[int, np.ndarray] = {}
+    total = np.zeros(3)
+    cut = _threshold(ratio)
+    for line, r in zip(lines, ratio):
+        # text outside links, that above the threshold, and lines of it in an article or main
+        own = np.array([line[1], line[1] * (r > cut), r > cut and any(n in parser.content for n in line[3])], dtype=float)
+        total += own
+        for node in parser.named.intersection(line[3]):
+            sums[node] = sums.get(node, 0) + own
+    found = {n for n, own in sums.items() if (2 * own[:2] <= total[:2]).any() or own[2] < total[2]}
+    return found if any(not found.intersection(line[3]) for line in lines) else set()
+
+
 def content_lines(html: str | None) -> list[str]:
     """Lines of the main text, in page order; null, empty or textless pages have none."""
     if not html:
@@ -155,11 +197,13 @@ def content_lines(html: str | None) -> list[str]:
     parser.feed(html)
     parser.close()
     parser._flush()
-    lines = parser.lines
-    usable = [i for i, line in enumerate(lines) if not line[4]]
-    if not usable:
+    lines = [line for line in parser.lines if not parser.hidden & set(line[3])]
+    if not lines:
         return []
     ratio = _smoothed(np.array([line[1] / max(1, line[2]) for line in lines], dtype=float))
+    boiler = _boilerplate(parser, lines, np.log1p(ratio))
+    usable = [i for i, line in enumerate(lines) if not boiler & set(line[3])]
+    parser.content = {n: tag for n, tag in parser.content.items() if any(n in lines[i][3] for i in usable)}
     cut = _threshold(np.log1p(ratio[usable]))
     core = [i for i in usable if np.log1p(ratio[i]) > cut and lines[i][1]] or usable
     size: dict[int, int] = {}

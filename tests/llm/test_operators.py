@@ -240,3 +240,14 @@ def test_contexts_are_counted_exactly_and_grow(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c"] * 400 + texts)], "doc_id long, text string").repartition(8)
     got = mixing.score_texts(docs, F.lit(True), F.col("doc_id") % 5 == 4, max_words=3, shard=64).collect()
     assert sorted(r.doc_id for r in got) == list(range(460)) and all(r.score < 0 for r in got)
+
+
+def test_wrappers_and_open_heads_do_not_empty_pages():
+    body = "<h1>A title</h1><p>Long first paragraph of the page, with enough text to count here.</p><p>And the second one, also with enough text to count.</p>"
+    want = ["A title", "Long first paragraph of the page, with enough text to count here.", "And the second one, also with enough text to count."]
+    around = lambda a, b: f"<html><head><title>x</title></head><body>{a}<nav><a href=/>Home</a></nav>{body}<div class=sidebar>Read this too</div>{b}</body></html>"
+    for page in (around("<div class='page with-sidebar'>", "</div>"), around("<form>", "</form>"), around("<div id=social-article>", "</div>"), around("<div role=form><form>", "</form></div>")):
+        assert main_text.content_lines(page) == want
+    for page in (f"<html><head><title>x</title><body>{body}</body></html>", f"<html><head><title>x</title>{body}", f"<head><meta charset=utf-8><title>x</title><div>{body}</div>"):
+        assert main_text.content_lines(page) == want
+    assert main_text.content_lines(f"<body><div style='display: none'>{body}</div><p>Seen</p>") == ["Seen"]
