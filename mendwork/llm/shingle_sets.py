@@ -1,0 +1,104 @@
+"""Near duplicates by the Jaccard similarity of their sets of word shingles.
+
+Candidates share a MinHash band (20 bands of 5 values: a pair of similarity
+0.8 shares none with probability 0.00035, more similar ones less). Every
+candidate link is verified by the exact similarity of the two sets, so no link
+is wrong. In a band with up to ``ALL_PAIRS`` different sets all pairs are
+candidates; in a larger one each set is paired with the smallest and with its
+neighbour in an order that differs from band to band, so that what is sent
+grows with the documents and not with the square of a group.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import byte_texts, cut_lineage
+from .components import connected_components
+from .simhash import shingle_hashes
+
+BANDS, ROWS = 20, 5
+ALL_PAIRS = 8
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_id(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.astype("<u8").tobytes(), 7) - (1 << 63)
+
+
+def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, set) of every row of ``docs(id, text)``, and verified links (a, b) between different sets."""
+
+    def sketch(batches):
+        rng = np.random.default_rng(11)
+        mul, add = (rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+        mul |= np.uint64(1)
+        for batch in batches:
+            ids, bands = [], []
+            for b in byte_texts(batch.column("text")):
+                grams = shingle_set(b, width)
+                ids.append(set_id(grams))
+                least = np.array([(grams * m + a).min() for m, a in zip(mul, add)]) if len(grams) else np.zeros(BANDS * ROWS, dtype=np.uint64)
+                bands.append([xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "text_key", "set", "bands"])
+
+    keyed = docs.select("id", "text", F.xxhash64("text").alias("text_key"))
+    kind = docs.schema["id"].dataType.simpleString()
+    sets = cut_lineage(keyed.mapInArrow(sketch, f"id {kind}, text_key long, set long, bands array<long>"))
+    distinct = sets.groupBy("set").agg(F.min(_first()).alias("first"), F.min("bands").alias("bands"))
+    banded = distinct.select("set", F.explode("bands").alias("band"))
+    group = Window.partitionBy("band")
+    order = group.orderBy(F.xxhash64("set", "band"), "set")
+    near = banded.select("set", F.count("*").over(group).alias("n"), F.min("set").over(group).alias("least"), *(F.lag("set", k).over(order).alias(f"l{k}") for k in range(1, ALL_PAIRS))).where("n > 1")
+    others = F.when(F.col("n") <= ALL_PAIRS, F.array(*(f"l{k}" for k in range(1, ALL_PAIRS)))).otherwise(F.array("least", "l1"))
+    pairs = near.select("set", F.explode(others).alias("other")).where("other != set")
+    pairs = cut_lineage(pairs.select(F.greatest("set", "other").alias("a"), F.least("set", "other").alias("b")).distinct())
+
+    def grams_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([shingle_set(b, width).astype("<u8").tobytes() for b in byte_texts(batch.column("text"))], pa.binary())], names=["set", "grams"])
+
+    # texts of candidates only: one row of each of their sets
+    members = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    chosen = distinct.join(members, "set").select("set", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key"))
+    texts = keyed.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text")
+    grams = cut_lineage(texts.mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"]))
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    found = pairs.join(grams.select(F.col("set").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("set").alias("b"), F.col("grams").alias("y")), "b")
+    return sets.drop("bands"), found.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def _first():
+    """Smallest id first, rows without an id last."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id; columns unchanged.
+
+    Rows are told apart by id and text: of an id with several texts each text
+    counts for itself, and rows without an id are like all others.
+    """
+    sets, found = links(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width, similarity)
+    roots = connected_components(found)
+    rooted = sets.groupBy("set").agg(F.min(_first()).alias("first")).join(roots, F.col("set") == F.col("node"), "left")
+    kept = rooted.groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
+    once = keyed.join(kept, (F.col("_text_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return once.dropDuplicates([id_col, "_text_key"]).drop("_text_key")
