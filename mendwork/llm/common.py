@@ -36,10 +36,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def remainder(id_col: str, divisor: int):
-    """crc32 of the id's decimal text modulo ``divisor``; null ids give null."""
+    """crc32 of the id's decimal text modulo ``divisor``; null ids give null, so they are in no fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
+def held_out(id_col: str, divisor: int, fold: int):
+    """Whether an id is in the held-out fold; false for null ids, which are not learned from either."""
+    return F.coalesce(remainder(id_col, divisor) == fold, F.lit(False)).alias("held_out")
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a text column, null kept."""
     return column.cast(pa.large_binary()).to_pylist()

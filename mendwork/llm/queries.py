@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import attribution, decontaminate, fixity, gam, language, main_text, mixing, packing, quality_rules, simhash
-from .common import cut_lineage, remainder, table
+from .common import cut_lineage, held_out, remainder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fold = remainder("doc_id", 5)
-    scored = mixing.score_texts(docs, training=fold != 1, fold=fold == 4)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    scored = mixing.score_texts(docs, training=remainder("doc_id", 5) != 1)
+    return scored.select("doc_id", held_out("doc_id", 5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = gam.fit_labels(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
     scored = gam.with_scores(docs, model)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.where(remainder("doc_id", 3) != 1))
     found = language.with_languages(docs.select("doc_id", "text"), model)
     return found.select(
-        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"),
+        "doc_id", held_out("doc_id", 3, 1),
         F.coalesce(F.get("languages", F.lit(0)), F.lit("und")).alias("lang_pred"), F.coalesce(F.get("shares", F.lit(0)), F.lit(0.0)).alias("score"), "languages", "shares",
     )
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from mendwork.llm import attribution, decontaminate, fixity, gam, language, main_text, mixing, packing, quality_rules, simhash
+from mendwork.llm import attribution, decontaminate, fixity, gam, language, main_text, packing, quality_rules, simhash
 from mendwork.llm.components import connected_components
 from mendwork.llm.textstats import NAMES, text_stats
 from mendwork.llm.tokens import ByteBpe
@@ -141,27 +141,6 @@ def test_packing_is_whole_and_within_limits(spark, docs):
         assert np.bincount(bins, lengths).max() <= 1024 and bins.max() + 1 <= 1.03 * lengths.sum() / 1024 + 1
 
 
-def test_base_scores_and_model(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"rare{rng.randint(0, 40)}"]) for _ in range(rng.randint(1, 60))) for _ in range(120)] + [None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in mixing.score_texts(docs, F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 4, max_words=3).collect()}
-    tokens = lambda t: [*(t or "").split(), ""]
-    c = Counter(w for i, t in enumerate(texts) if i % 5 != 1 for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    for i, t in enumerate(texts):
-        r = got[i]
-        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n) and r.score < 0
-    assert mixing.score_texts(docs.limit(0), F.lit(True), F.lit(True)).count() == 0
-
-
-def test_huffman_paths_are_a_complete_code():
-    parent = mixing.huffman(np.array([5, 1, 1, 9, 3, 3]))
-    offset, length, steps = mixing.paths(parent, 0)
-    assert sum(2.0 ** -int(x) for x in length) == 1.0 and len(steps) == length.sum() and set(steps >> 1) == set(range(5))
-
-
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution_is_whole(spark, docs, rule):
     got = attribution.token_counts(docs, rule=rule).where("doc_id IS NOT NULL").collect()
@@ -214,34 +193,6 @@ def test_fixity_finds_what_differs(spark):
     assert sorted((r.file, r.offset, r.status) for r in damage.collect()) == [("f1", 5000, "corrupt"), ("f2", 99000, "missing"), ("f2", 777_000, "extra")]
 
 
-def test_contexts_are_counted_exactly_and_grow(spark):
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"rare{rng.randint(0, 40)}"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
-    counts = mixing.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).localCheckpoint()
-    coder = mixing.Coder(mixing.vocabulary(counts, 3))
-    *units, at, _ = coder.units([t.encode().split() for t in texts])
-    counted = at % 2 == 0
-    shard = mixing.Shard(coder, units, counted)
-    shape = np.where(units[0] > coder.escape + 1, units[2], coder.shape_of(units[0]))
-    for k, key in enumerate((units[:1], units[:2], [shape])):
-        context = list(zip(*(x.tolist() for x in key)))
-        seen = Counter((context[u], n, b) for u, n, b in zip(shard.unit.tolist(), shard.node.tolist(), shard.bit.tolist()) if counted[u])
-        n0, n1 = (np.array([seen[context[u], n, b] for u, n in zip(shard.unit.tolist(), shard.node.tolist())]) for b in (0, 1))
-        assert (shard.odds[k + 1] == mixing.quantised(n0, n1) >> 8).all() and (shard.sure[k] == np.digitize(n0 + n1, [1, 4, 30])).all()
-    # shards follow the tokens far beyond 2^20; a frequent context is spread
-    many = mixing.vocabulary(spark.createDataFrame([(w.encode(), 1 << 30) for w in ("", "a", "b")], "word binary, n long"))
-    assert many.shards * mixing.SHARD >= 3 << 30 and many.spread[1] >= 1000
-    near, before = np.full(100_000, 1), np.arange(100_000)
-    assert len(np.unique(mixing.Coder(many).shard(near, before))) >= 1000
-    # packed units come back as they were, and shards and pieces of shards score each row once
-    columns = [np.arange(300) * k % 256 for k in range(1, 7)]
-    columns[0].sort()
-    assert all((a == b).all() for a, b in zip(columns, mixing.unpacked(mixing.packed(columns), 300)))
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c"] * 400 + texts)], "doc_id long, text string").repartition(8)
-    got = mixing.score_texts(docs, F.lit(True), F.col("doc_id") % 5 == 4, max_words=3, shard=64).collect()
-    assert sorted(r.doc_id for r in got) == list(range(460)) and all(r.score < 0 for r in got)
-
-
 def test_wrappers_and_open_heads_do_not_empty_pages():
     body = "<h1>A title</h1><p>Long first paragraph of the page, with enough text to count here.</p><p>And the second one, also with enough text to count.</p>"
     want = ["A title", "Long first paragraph of the page, with enough text to count here.", "And the second one, also with enough text to count."]
