@@ -86,7 +86,9 @@ def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", se
 
     Sections are the \\n-split lines (name null), or the column ``sections``:
     an array of (name, start, end) in code points, disjoint. start and length
-    are in code points. n_tokens is a double, whole unless the rule is split.
+    are in code points; a null start or end is read as 0, ends beyond the text
+    as its end. n_tokens is a double, whole unless the rule is split. Repeated
+    rows are counted each; other columns are ignored, so names cannot clash.
     Tokens that lie in no section form a last row with section -1, if there
     are any. Null texts have no rows, empty ones a row for their empty line.
     """

@@ -7,7 +7,7 @@ between the clusters' means (Weninger et al. 2010; Otsu's criterion finds the
 threshold). The lines above it mark where the content is; the content region
 is the smallest element around most of their text, and all its lines that are
 not boilerplate are returned, so a short heading or paragraph inside an
-article stays. A tag, class, id or role that names boilerplate counts only if
+article stays. What lies outside the region or in boilerplate goes. A tag, class, id or role that names boilerplate counts only if
 the element does not hold most of the text above the threshold: page wrappers
 ("page with-sidebar", one form around all) do not empty a page.
 """
@@ -30,7 +30,7 @@ _BLOCKS = frozenset(
     "hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
+_SILENT = frozenset("script style noscript template iframe object svg canvas audio video head title select textarea button".split())
 _BOILERPLATE = frozenset("nav header footer aside form menu dialog search".split())
 _CONTENT = frozenset("article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar alert".split())
@@ -39,6 +39,7 @@ _NAMES = frozenset(
     "footer sidebar side aside widget widgets related recommended cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login share "
     "sharing social comment comments commentlist disqus replies reply respond pagination pager tags legal copyright disclaimer toolbar outbrain taboola hidden".split()
 )
+_HEADERS = frozenset("header masthead".split())
 #: what may stand in head; any other tag, or text, ends it, as </head> may be left out
 _HEAD = frozenset("html head title base link meta style script noscript template object".split())
 #: an opening tag closes an open one of these, as far up as the stop element
@@ -48,31 +49,37 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, characters outside links, tags, region path)."""
+    """Collects lines (text, characters outside links, tags, element) and the tree of elements.
+
+    Every event takes constant time: open elements are known by the places of
+    their tag in the stack, and lines by their innermost element.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, node, silent, hidden or boilerplate in itself
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.named: set[int] = set()  # nodes that a tag, class, id or role calls boilerplate
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}  # of each open tag in the stack
+        self.blocks: list[int] = []  # places of open block elements
+        self.parent = [-1]  # by element; 0 is the page
+        self.named: set[int] = set()  # elements that a tag, class, id or role calls boilerplate
         self.hidden: set[int] = set()
-        self.parts: list[str] = []
-        self.tags = self.free = self.nodes = self.links = 0
         self.content: dict[int, str] = {}
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parts: list[str] = []
+        self.tags = self.free = self.silent = self.inside = 0
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            path = tuple(n for _, n, _, _ in self.stack)
-            self.lines.append((text, self.free, self.tags, path))
+            self.lines.append((text, self.free, self.tags, self.stack[-1][1] if self.stack else 0))
             self.tags = 0
         self.parts, self.free = [], 0
 
-    def _names(self, tag: str, attrs: list) -> bool:
+    def _names(self, attrs: list) -> bool:
         for key, value in attrs:
             if key in ("class", "id") and value:
-                # a word of a class or id names boilerplate: "ad", "site-footer", "comment_list"
-                if any(w in _NAMES for w in _TOKEN.findall(value.lower())):
+                # a word of a class or id names boilerplate: "ad", "site-footer", "comment_list"; an article has headers of its own
+                if any(w in _NAMES and not (self.inside and w in _HEADERS) for w in _TOKEN.findall(value.lower())):
                     return True
             elif key == "role" and value and value.lower() in _ROLES:
                 return True
@@ -83,13 +90,13 @@ class _Lines(HTMLParser):
         return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
 
     def _end_head(self) -> None:
-        if any(t == "head" for t, *_ in self.stack) and self.stack[-1][0] in ("html", "head"):
+        if self.places.get("head") and self.stack[-1][0] in ("html", "head"):
             self._flush()
             self._close("head")
 
     def handle_starttag(self, tag, attrs):
         if tag not in _HEAD:
-            if tag == "body" and any(t == "head" for t, *_ in self.stack):
+            if tag == "body" and self.places.get("head"):
                 self._flush()
                 self._close("head")
             self._end_head()
@@ -99,54 +106,60 @@ class _Lines(HTMLParser):
             return
         if tag in _BLOCKS:
             self._flush()
-            if any(t == "p" for t, *_ in self.stack):
-                self._close("p", ("table", "button"))
+            self._close("p", ("table", "button"))
             if tag in _CLOSES:
                 for t in _CLOSES[tag][0].split():
                     self._close(t, _CLOSES[tag][1])
         if tag in _VOID:
             return
-        _, _, silent, boiler = self.stack[-1] if self.stack else ("", 0, False, False)
-        self.nodes += 1
-        inside = any(n in self.content for _, n, _, _ in self.stack)
-        if tag in _BOILERPLATE and not (tag == "header" and inside) or tag not in ("html", "body", "article", "main") and self._names(tag, attrs):
-            self.named.add(self.nodes)
-        unseen = tag not in ("html", "body", "article", "main") and self._unseen(attrs)
-        if unseen:
-            self.hidden.add(self.nodes)
+        node = len(self.parent)
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        whole = tag in ("html", "body", "article", "main")
+        if tag in _BOILERPLATE and not (tag == "header" and self.inside) or not whole and self._names(attrs):
+            self.named.add(node)
+        if not whole and self._unseen(attrs):
+            self.hidden.add(node)
         if tag in _CONTENT:
-            self.content[self.nodes] = tag
-        self.stack.append((tag, self.nodes, silent or tag in _SILENT, boiler or unseen))
-        self.links += tag == "a"
+            self.content[node] = tag
+            self.inside += 1
+        self.silent += tag in _SILENT
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
-    def _close(self, tag: str, stops: tuple[str, ...] = ()) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.links -= sum(t == "a" for t, *_ in self.stack[at:])
-                del self.stack[at:]
-                return
-            if self.stack[at][0] in stops:
-                return
+    def _close(self, tag: str, stops: tuple[str, ...] = (), inline: bool = False) -> None:
+        """Close the innermost open ``tag`` with all it holds, unless a stop element lies between."""
+        at = self.places.get(tag)
+        if not at or any((self.places.get(t) or [-1])[-1] > at[-1] for t in stops) or inline and self.blocks and self.blocks[-1] > at[-1]:
+            return
+        to = at[-1]
+        while len(self.stack) > to:
+            t, _ = self.stack.pop()
+            self.places[t].pop()
+            if t in _BLOCKS:
+                self.blocks.pop()
+            self.inside -= t in _CONTENT
+            self.silent -= t in _SILENT
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in _BLOCKS:
             self._flush()
-        elif tag not in _VOID and self.stack and self.stack[-1][0] != tag and not any(t == tag for t, *_ in self.stack):
-            return
-        # an inline end tag doesn't reach out of its block
-        self._close(tag, () if tag in _BLOCKS else tuple(_BLOCKS))
+            self._close(tag)
+        else:  # an inline end tag doesn't reach out of its block
+            self._close(tag, inline=True)
 
     def handle_data(self, data):
-        if data.strip() and self.stack and self.stack[-1][0] == "head":
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
             self._end_head()
-        if self.stack and self.stack[-1][2]:
+        if self.silent:
             return
         self.parts.append(data)
-        if not self.links:
+        if not self.places.get("a"):
             self.free += len(data.strip())
 
 
@@ -169,65 +182,85 @@ def _threshold(x: np.ndarray) -> float:
     return float((v[at] + v[at + 1]) / 2)
 
 
-def _boilerplate(parser: _Lines, lines: list, ratio: np.ndarray) -> set[int]:
-    """The elements named as boilerplate, but for those that hold the page's text.
+def _below(parent: list[int], of_node: np.ndarray) -> np.ndarray:
+    """Sums over each element and all it holds; elements come before what they hold."""
+    out = of_node.tolist()
+    for node in range(len(parent) - 1, 0, -1):
+        if out[node]:
+            out[parent[node]] += out[node]
+    return np.array(out)
+
+
+def _within(parent: list[int], marked: set[int] | dict[int, str]) -> np.ndarray:
+    """Whether an element is marked or lies in a marked one."""
+    out = [False] * len(parent)
+    if marked:
+        for node in range(1, len(parent)):
+            out[node] = out[parent[node]] or node in marked
+    return np.array(out)
+
+
+def _boilerplate(parser: _Lines, node: np.ndarray, free: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Elements in boilerplate, but for those named so that hold the page's text.
 
     These hold over half of the text above the threshold and over half of all
     text outside links, and no article or main outside them has lines above
     the threshold. If nothing would be left, all lines stay.
     """
-    sums: dict[int, np.ndarray] = {}
-    total = np.zeros(3)
-    cut = _threshold(ratio)
-    for line, r in zip(lines, ratio):
-        # text outside links, that above the threshold, and lines of it in an article or main
-        own = np.array([line[1], line[1] * (r > cut), r > cut and any(n in parser.content for n in line[3])], dtype=float)
-        total += own
-        for node in parser.named.intersection(line[3]):
-            sums[node] = sums.get(node, 0) + own
-    found = {n for n, own in sums.items() if (2 * own[:2] <= total[:2]).any() or own[2] < total[2]}
-    return found if any(not found.intersection(line[3]) for line in lines) else set()
+    n = len(parser.parent)
+    marked = high & _within(parser.parent, parser.content)[node]
+    # text outside links, that above the threshold, and lines of it in an article or main
+    sums = [_below(parser.parent, np.bincount(node, x, n)) for x in (free, free * high, marked)]
+    named = {k for k in parser.named if any(2 * x[k] <= x[0] for x in sums[:2]) or sums[2][k] < sums[2][0]}
+    found = _within(parser.parent, named)
+    return found if not found[node].all() else np.zeros(n, dtype=bool)
 
 
 def content_lines(html: str | None) -> list[str]:
-    """Lines of the main text, in page order; null, empty or textless pages have none."""
+    """Lines of the main text, in page order; null, empty or textless pages have none.
+
+    Time and memory follow the page's length, whatever its depth; elements
+    that are never closed are no different.
+    """
     if not html:
         return []
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._flush()
-    lines = [line for line in parser.lines if not parser.hidden & set(line[3])]
+    parent = parser.parent
+    unseen = _within(parent, parser.hidden)
+    lines = [line for line in parser.lines if not unseen[line[3]]]
     if not lines:
         return []
-    ratio = _smoothed(np.array([line[1] / max(1, line[2]) for line in lines], dtype=float))
-    boiler = _boilerplate(parser, lines, np.log1p(ratio))
-    usable = [i for i, line in enumerate(lines) if not boiler & set(line[3])]
-    parser.content = {n: tag for n, tag in parser.content.items() if any(n in lines[i][3] for i in usable)}
-    cut = _threshold(np.log1p(ratio[usable]))
-    core = [i for i in usable if np.log1p(ratio[i]) > cut and lines[i][1]] or usable
-    size: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for i in core:
-        for d, node in enumerate(lines[i][3]):
-            size[node] = size.get(node, 0) + lines[i][1]
-            depth[node] = d
-    total = sum(lines[i][1] for i in core)
+    free, tags, node = (np.array([line[k] for line in lines]) for k in (1, 2, 3))
+    ratio = np.log1p(_smoothed(free / np.maximum(1, tags)))
+    usable = np.flatnonzero(~_boilerplate(parser, node, free, ratio > _threshold(ratio))[node])
+    high = ratio > _threshold(ratio[usable])
+    core = usable[high[usable] & (free[usable] > 0)]
+    core = core if len(core) else usable
+    n = len(parent)
+    holds = _below(parent, np.bincount(node[core], minlength=n))
+    size = _below(parent, np.bincount(node[core], free[core], n))
+    some = _below(parent, np.bincount(node[usable], minlength=n))
+    total = size[0]
+    depth = [-1] * n
+    for k in range(1, n):
+        depth[k] = depth[parent[k]] + 1
     # the outermost article or main with most of the content; else the smallest element around most of it
-    marked = [n for n in size if n in parser.content and 2 * size[n] > total]
-    around = [n for n in size if 10 * size[n] >= 9 * total]
+    marked = [k for k in parser.content if some[k] and 2 * size[k] > total]
+    around = [k for k in range(1, n) if holds[k] and 10 * size[k] >= 9 * total]
     if marked:
-        region = max(marked, key=lambda n: (parser.content[n] == "article", -depth[n]))
+        regions = {max(marked, key=lambda k: (parser.content[k] == "article", -depth[k]))}
     elif around:
-        region = max(around, key=lambda n: depth[n])
+        region = max(around, key=lambda k: depth[k])
         # a region that is a single block, as a paragraph, takes in its neighbours
-        if sum(region in lines[i][3] for i in usable) == 1 and len(lines[core[0]][3]) > 1:
-            region = lines[core[0]][3][depth[region] - 1] if depth[region] else region
+        regions = {parent[region] if some[region] == 1 and depth[region] else region}
+        regions |= {k for k, tag in parser.content.items() if tag == "article" and holds[k]}
     else:
-        return [lines[i][0] for i in usable if not lines[i][2] or np.log1p(ratio[i]) > cut]
-    several = [n for n in size if parser.content.get(n) == "article"] if not marked else []
-    regions = {region, *several}
-    return [lines[i][0] for i in usable if regions & set(lines[i][3])]
+        return [lines[i][0] for i in usable if not tags[i] or high[i]]
+    region = _within(parent, regions)
+    return [lines[i][0] for i in usable if region[node[i]]]
 
 
 def with_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

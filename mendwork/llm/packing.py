@@ -9,8 +9,9 @@ piece needs and what is left ("dot", most wins; Panigrahy et al. 2011).
 
 Only documents longer than a sequence are cut: the first piece takes the
 remainder, all others fill a sequence each and need no packing. First pieces
-are dealt by a hash of their values into groups of about ``group_size``, each
-an even sample of all lengths, and each group is packed by one task. A group
+are dealt by a hash of their places in the written table into groups of about
+``group_size``, each an even sample of all lengths however many pieces are
+alike, and each group is packed by one task. A group
 ends with a bin or two that are not full, so a larger group wastes less and a
 smaller one takes less memory; both stay the same at any size of the input.
 """
@@ -129,16 +130,17 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), group_size: int = 81
     """Append sequence_id and offset to pieces from ``pieces``.
 
     sequence_id is unique: packed pieces get a number from group and bin, full
-    pieces a negative one each. Within a group, pieces of equal length are
-    ordered by their values, so a task that runs again gives the same bins;
-    fully equal pieces may swap places. No pieces give no rows.
+    pieces a negative one each. The pieces are written first, so their places
+    are settled; within a group, pieces of equal length are ordered by their
+    values, so a task that runs again gives the same bins, where fully equal
+    pieces may swap. No pieces give no rows.
     """
     parts = cut_lineage(parts)  # texts are encoded once for both branches
     alone = (F.col("length") == capacity.tokens) & F.lit(capacity.documents >= 1)
     full = parts.where(alone).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = parts.where(~alone)
     groups = max(1, -(-rest.count() // group_size))
-    dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = rest.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     schema = T.StructType([*parts.schema, T.StructField("group", T.IntegerType()), T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,8 +11,10 @@ has variants in few partitions (its own prefix with up to r/2 bits flipped), so
 it is sent once to each of these, and the receiving task makes the variants
 that belong there. Every variant still meets every other in exactly one task.
 A partition with too many fingerprints (near copies have near prefixes) is
-split into slices by a hash of the variant; each slice makes the same variants
-and keeps its own share. No link is lost either way.
+split into slices by a linear hash of the variant: the hash of a fingerprint
+with some bits flipped is the hash of the fingerprint and that of the flips
+together, so that a slice makes its own variants only, and each is made once.
+No link is lost either way.
 """
 
 from __future__ import annotations
@@ -83,8 +85,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def meet(prints: np.ndarray, bucket: int, prefix_bits: int, radius: int, piece: int = 0, pieces: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints that share a variant with prefix ``bucket``.
+def _parities(bits: int) -> np.ndarray:
+    """Words whose overlap with a value, even or odd, gives the bits of a linear hash."""
+    return np.random.default_rng(3).integers(0, 1 << 63, bits, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def linear_hash(x: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits with linear_hash(x ^ y) = linear_hash(x) ^ linear_hash(y)."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for i, word in enumerate(_parities(bits)):
+        out |= (np.bitwise_count(x & word) & 1).astype(np.int64) << i
+    return out
+
+
+def meet(prints: np.ndarray, bucket: int, prefix_bits: int, radius: int, piece: int = 0, piece_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints that share a variant with prefix ``bucket`` and hash ``piece``.
 
     Returns the ends of a spanning forest of the verified links: as many links
     as there are fingerprints at most, which keeps every connection.
@@ -99,20 +114,26 @@ def meet(prints: np.ndarray, bucket: int, prefix_bits: int, radius: int, piece:
     index_bits = max(1, (n - 1).bit_length())
     mask = np.uint64((1 << index_bits) - 1)
     rest = prints & np.uint64((1 << low) - 1) if low < BITS else prints
+    share = linear_hash(rest, piece_bits)
     keys = []
     for d in range(half + 1):
-        own = np.flatnonzero(flips == d)
-        masks = ball(low, half - d)
-        step = max(1, TASK_VARIANTS // (4 * len(masks)))
-        for at in range(0, len(own), step):
-            some = own[at : at + step]
-            key = _mixed((rest[some][:, None] ^ masks[None, :]).ravel())
-            index = np.repeat(some.astype(np.uint64), len(masks))
-            if pieces > 1:
-                take = (key >> np.uint64(40)) % np.uint64(pieces) == np.uint64(piece)
-                key, index = key[take], index[take]
-            # the hash of the variant above, the fingerprint's place below: one sort brings equal variants together
-            keys.append((key & ~mask) | index)
+        every = ball(low, half - d)
+        of_masks = linear_hash(every, piece_bits)
+        near = np.flatnonzero(flips == d)
+        for h in np.unique(share[near]).tolist() if piece_bits else [0]:
+            # the flips that lead from fingerprints of hash h into this piece
+            masks, own = (every[of_masks == piece ^ h], near[share[near] == h]) if piece_bits else (every, near)
+            if not len(masks):
+                continue
+            step = max(1, TASK_VARIANTS // (4 * len(masks)))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                key = _mixed((rest[some][:, None] ^ masks[None, :]).ravel())
+                index = np.repeat(some.astype(np.uint64), len(masks))
+                # the hash of the variant above, the fingerprint's place below: one sort brings equal variants together
+                keys.append((key & ~mask) | index)
+    if not keys:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     key = np.concatenate(keys)
     key.sort()
     same = np.flatnonzero(((key[1:] ^ key[:-1]) & ~mask) == 0)
@@ -183,7 +204,8 @@ def near_links(prints: DataFrame, radius: int = 4, prefix_bits: int | None = Non
     buckets = np.arange(1 << prefix_bits)
     load = sum(size[buckets ^ m] * s for m, s in zip(masks, spread))
     pieces = np.maximum(1, -(-load // task_variants)).astype(np.int64)
-    hot = {int(k): int(pieces[k]) for k in np.flatnonzero(pieces > 1)}
+    hot = {int(k): min(16, int(pieces[k] - 1).bit_length()) for k in np.flatnonzero(pieces > 1)}  # bits of the slices' hash
+    masks_of = [ball(shift, left) for left in range(half + 1)]
 
     def send(batches):
         for batch in batches:
@@ -196,13 +218,27 @@ def near_links(prints: DataFrame, radius: int = 4, prefix_bits: int | None = Non
             values = np.repeat(own, len(masks))[order]
             keys, starts = np.unique(at, return_index=True)
             ends = np.append(starts[1:], len(at))
-            rows = [(int(k), p, values[s:e].tobytes()) for k, s, e in zip(keys, starts, ends) for p in range(hot.get(int(k), 1))]
+            rows = []
+            for k, s, e in zip(keys.tolist(), starts, ends):
+                if k not in hot:
+                    rows.append((k, 0, values[s:e].tobytes()))
+                    continue
+                # a slice gets the fingerprints that have variants in it
+                share = linear_hash(values[s:e] & np.uint64((1 << shift) - 1), hot[k])
+                flips = np.bitwise_count((values[s:e] >> np.uint64(shift)) ^ np.uint64(k))
+                to: dict[int, list[np.ndarray]] = {}
+                for d in range(half + 1):
+                    for at in np.unique(linear_hash(masks_of[half - d], hot[k])).tolist():
+                        own = np.flatnonzero(flips == d)
+                        for h in np.unique(share[own]).tolist():
+                            to.setdefault(at ^ h, []).append(values[s:e][own[share[own] == h]])
+                rows += [(k, p, np.concatenate(x).tobytes()) for p, x in to.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "piece", "prints"])
 
     def receive(key: tuple[int, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, piece = int(key[0]), int(key[1])
         own = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["prints"]])
-        a, b = meet(own, bucket, prefix_bits, radius, piece, hot.get(bucket, 1))
+        a, b = meet(own, bucket, prefix_bits, radius, piece, hot.get(bucket, 0))
         return pd.DataFrame({"a": a, "b": b})
 
     sent = prints.select("fingerprint").mapInArrow(send, "bucket int, piece int, prints binary")
@@ -214,8 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     component_id: the smallest id that is reachable over links of at most
     ``radius`` bits; null only where a whole component has null ids. is_kept:
-    one row of each component, the one with the smallest id (among repeated
-    rows of that id, ``near_duplicates`` marks them all). Null and wordless
+    the rows of each component with its smallest id (repeated rows of that id
+    are all marked). Null and wordless
     texts have fingerprint 0 and link like any other. Other columns of
     ``docs`` are ignored, so names cannot clash; no rows give no rows.
     """
@@ -223,19 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("id").alias("first_id")))
     roots = connected_components(near_links(distinct, radius))
     grouped = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
-    component = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    component = cut_lineage(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")))  # so that Spark can split a giant component in the join
     by_print = grouped.join(component, "root").select("fingerprint", "component_id")
     out = prints.join(by_print, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
     return out.withColumn("is_kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """One row of each group of near duplicates, the one with the smallest id; columns unchanged.
-
-    Repeated rows of one id leave one row. Rows without an id cannot be told
-    apart from each other and all stay.
-    """
-    kept = near_duplicates(docs, id_col, text, radius).where("is_kept").select(F.col(id_col).alias("_kept_id")).dropna().distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    once = named.join(kept, named[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))

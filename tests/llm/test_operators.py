@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from mendwork.llm import attribution, decontaminate, fixity, gam, language, main_text, packing, quality_rules, simhash
 from mendwork.llm.components import connected_components
@@ -88,9 +90,29 @@ def test_fingerprints_and_kept_rows(spark, docs):
     for r in got:
         if r.doc_id is not None:
             assert r.fingerprint & (2**64 - 1) == plain(TEXTS[r.doc_id % len(TEXTS)]) and r.component_id <= r.doc_id % len(TEXTS)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id IS NOT NULL").count() == len({r.component_id for r in got if r.doc_id is not None})
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+    assert {r.doc_id for r in got if r.is_kept and r.doc_id is not None} == {r.component_id for r in got if r.component_id is not None}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_slices_make_every_variant_once():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 64, 3, dtype=np.uint64)
+    near = np.unique(np.concatenate([base, *(base ^ np.uint64((1 << int(i)) | (1 << int(j))) for i, j in rng.integers(0, 64, (40, 2)))]))
+    assert (simhash.linear_hash(near ^ base[0], 5) == simhash.linear_hash(near, 5) ^ simhash.linear_hash(base[:1], 5)[0]).all()
+    whole = set(zip(*(x.tolist() for x in simhash.meet(near, 0, 0, 4))))
+    parts = [set(zip(*(x.tolist() for x in simhash.meet(near, 0, 0, 4, piece, 3)))) for piece in range(8)]
+    linked = lambda pairs: {frozenset(g) for g in _groups_of(near.view(np.int64).tolist(), pairs)}
+    assert linked(whole) == linked(set().union(*parts))
+
+
+def _groups_of(nodes, pairs):
+    group = {n: {n} for n in nodes}
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for n in group[b]:
+                group[n] = group[a]
+    return group.values()
 
 
 def test_wu_manber_against_scan(spark):
@@ -119,17 +141,21 @@ def test_wu_manber_against_scan(spark):
 
 def test_tokens_equal_the_tokenizer_and_round_trip():
     bpe = ByteBpe()
-    for t in filter(None, TEXTS):
-        assert bpe.ids(t.encode()).tolist() == bpe._slow.encode(t, add_special_tokens=False).ids
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|", " ", "  ", "\n", "\t", "\r\n", "\x00", "\x85", "\u00a0", "word", "It's", "'LL", "12,345", "ñandú", "Ǆ", "Ωμέγα", "слово", "“curly”", "—", "漢字", "नमस्ते", "🙂", "e\u0301", "!?..", "_x_", "ſ", "ˈ", "\u2028"]
+    texts = [*filter(None, TEXTS), *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(1500)), *("".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 879)])) for _ in range(30)) for _ in range(500))]
+    for t in texts:
+        assert bpe.ids(t.encode()).tolist() == fresh.encode(t, add_special_tokens=False).ids, t
         assert bpe.lengths[bpe.ids(t.encode())].sum() == len(t.encode())
 
 
 def test_packing_is_whole_and_within_limits(spark, docs):
     packed = packing.pack(packing.pieces(docs, tokens=64, with_ids=True), packing.Capacity(64, 5, 3000 + 64 * 64), group_size=6).collect()
-    bpe = ByteBpe()
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for doc in range(len(TEXTS) * 2):
         own = sorted((r for r in packed if r.doc_id == doc), key=lambda r: r.piece)
-        ids = np.append(bpe.ids((TEXTS[doc % len(TEXTS)] or "").encode()), 2).astype("<u4")
+        ids = np.append(fresh.encode(TEXTS[doc % len(TEXTS)] or "", add_special_tokens=False).ids, 2).astype("<u4")
         assert b"".join(r.ids for r in own) == ids.tobytes() and all(r.ids_crc32 == zlib.crc32(r.ids) for r in own)
         assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]]
     for s in {r.sequence_id for r in packed}:
