@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendwork.llm import decontaminate, gam, packing, quality_rules, shingle_sets
+from mendwork.llm import decontaminate, gam, packing, quality_rules, simhash_sets
 from mendwork.llm.common import remainder, shared_folder, table
 
 
@@ -30,7 +30,7 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return shingle_sets.keep_one(docs, width=5, similarity=0.8)
+    return simhash_sets.keep_one(docs, width=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
