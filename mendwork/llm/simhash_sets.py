@@ -1,9 +1,9 @@
 """SimHash near-duplicates whose links are verified by the similarity of shingle sets.
 
-Every distinct set of word shingles has a fingerprint of 256 bits. At a
+Every distinct set of word shingles has a fingerprint of 1,024 bits. At a
 similarity of 0.8 two fingerprints differ in about 15 % of the bits, too many
-for one ball. So ball hashing is done in several tables: a table's key is a
-choice of the fingerprint's bits, and two sets are candidates if their keys
+for one ball. So ball hashing is done in several tables: a table's key is some
+of the fingerprint's bits, others for each table as far as they go, and two sets are candidates if their keys
 differ in at most two bits, that is, if they share a variant within one bit of
 both (see ``simhash``). The number of bits follows the number of sets, so that
 a set meets about one unrelated set in a table, and the number of tables
@@ -13,13 +13,16 @@ belongs to the bucket of its table and leading bits; a key is sent once to
 each bucket where it has variants, and these are made there.
 
 Candidates are compared in two rounds. In the first, each set is compared in
-every bucket with the most central set it meets: the one whose keys most other
-sets share. That ties groups of copies together with a comparison or a few for
-each set. In the second, all candidates that lie in different components are
-compared; within a component no pair is sent. No partner is left out by a cap.
-Before the exact comparison a pair must agree in the whole fingerprint to
-within ``CUT`` bits (a pair at the threshold differs in 39 of 256 on average,
-with a deviation of 6).
+every bucket with the most central set it meets: the one whose keys most
+others share. That ties groups of copies together with a comparison or a few
+for each set. In the second, all candidates that lie in different components
+are compared; within a component no pair is sent. Sets that share a variant
+with ``CROWD`` others or more go to their buckets once more, with a fingerprint
+of 2,048 bits, and of their pairs only those that agree in it leave the bucket:
+texts that are alike, but less than asked, can be many.
+No partner is left out by a cap. The comparisons of fingerprints before the
+exact one let a pair pass that differs in as many bits as one at the threshold
+may, up to 3.5 standard deviations.
 """
 
 from __future__ import annotations
@@ -36,14 +39,14 @@ from .common import byte_texts, cut_lineage
 from .components import connected_components
 from .simhash import ball, shingle_hashes
 
-WORDS = 4  # of 64 bits in a fingerprint
-RECALL, CUT = 0.995, 60
+WORDS = 16  # of 64 bits in a fingerprint
+RECALL, DEVIATIONS, CROWD = 0.998, 3.5, 8
+WIDE = 32  # words of the fingerprint of crowded sets
 BUCKET_VARIANTS = 4_000_000  # variants made in one bucket
 PAIRS = 2_000_000  # pairs that a bucket's task holds
 
 _BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.float64)
-_SALTS = np.array([[0x9E3779B97F4A7C15], [0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93]], dtype=np.uint64)
-_BYTE_OF = 256 * np.arange(8 * WORDS)
+_SALTS = np.random.default_rng(5).integers(0, 1 << 64, (WIDE, 1), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -54,30 +57,44 @@ def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.astype("<u8").tobytes(), 7) - (1 << 63)
 
 
-def wide_fingerprint(grams: np.ndarray) -> bytes:
-    """256 bits, each 1 if it is set in over half of the grams' hashes; no grams give zeros."""
-    counts = np.zeros(len(_BYTE_OF) * 256)
-    for at in range(0, len(grams), 1 << 16):
-        h = grams[at : at + (1 << 16)] * (_SALTS | np.uint64(1))
+def wide_fingerprint(grams: np.ndarray, words: int = WORDS) -> bytes:
+    """64 bits for each word, each 1 if it is set in over half of the grams' hashes; no grams give zeros."""
+    byte_of = 256 * np.arange(8 * words)
+    counts = np.zeros(len(byte_of) * 256)
+    for at in range(0, len(grams), 1 << 14):
+        h = grams[at : at + (1 << 14)] * _SALTS[:words]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(33)
-        by_byte = np.ascontiguousarray(h.T).astype("<u8").view(np.uint8).reshape(-1, len(_BYTE_OF))
-        counts += np.bincount((by_byte + _BYTE_OF).ravel(), minlength=len(counts))
+        by_byte = np.ascontiguousarray(h.T).astype("<u8").view(np.uint8).reshape(-1, len(byte_of))
+        counts += np.bincount((by_byte + byte_of).ravel(), minlength=len(counts))
     ones = counts.reshape(-1, 256) @ _BYTE_BITS
     return np.packbits(2 * ones > max(1, len(grams)), bitorder="little").tobytes()
 
 
+def differing(similarity: float) -> float:
+    """Share of the bits in which two sets of that similarity differ."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def cut(words: int, similarity: float) -> int:
+    """Bits in which a pair at the threshold may differ."""
+    n, p = 64 * words, differing(similarity)
+    return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 class Tables:
     """Choice of the keys' bits for ``n`` sets at a similarity."""
 
     def __init__(self, n: int, similarity: float) -> None:
         wanted = math.log2(max(1, n)) + math.log2(400)  # a ball of two bits holds about 400 keys
         self.bits = min(40, max(16, 4 * math.ceil(wanted / 4)))
-        differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+        differ = differing(similarity)
         near = sum(math.comb(self.bits, k) * differ**k * (1 - differ) ** (self.bits - k) for k in range(3))
         self.count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(near, 0.999))))
         rng = np.random.default_rng(7)
-        self.nibbles = np.array([rng.permutation(16 * WORDS)[: self.bits // 4] for _ in range(self.count)])
+        each = self.bits // 4
+        per = 16 * WORDS // each  # tables until all bits are used
+        self.nibbles = np.concatenate([rng.permutation(16 * WORDS)[: per * each].reshape(per, each) for _ in range(-(-self.count // per))])[: self.count]
         # leading bits that a bucket is known by: more of them, the more sets
         self.prefix = min(self.bits - 4, max(0, math.ceil(math.log2(max(1, n * (self.bits + 1) / BUCKET_VARIANTS)))))
 
@@ -93,10 +110,12 @@ class Tables:
 
 
 def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) -> DataFrame:
-    """``fn(bucket, keys, sets, marks)`` yields record batches, for every bucket of ``sets(set, bits, mark)``.
+    """``fn(bucket, keys, sets, marks, wide)`` yields record batches, for every bucket of ``sets(set, bits, mark)``.
 
     With ``reach`` 1, keys also go to the buckets where they have variants.
+    ``wide`` has the fingerprints of a further column ``wide``, if there is one.
     """
+    columns = ["set", "bits", "mark", *(["wide"] if "wide" in sets.columns else [])]
     shift = np.uint64(tables.bits - tables.prefix)
     flips = ball(tables.prefix, reach)
 
@@ -105,22 +124,25 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) ->
             if not batch.num_rows:
                 continue
             own, marks = (batch.column(c).to_numpy().astype("<i8") for c in ("set", "mark"))
+            more = [np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype="<u8").reshape(-1, WIDE)] if len(columns) > 3 else []
             for table, key in enumerate(tables.keys(batch.column("bits").to_pylist())):
                 to = ((key >> shift)[:, None] ^ flips[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
                 to, row = to[order], order // len(flips)
                 starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
                 ends = np.append(starts[1:], len(to))
-                data = [b"".join(x[row[a:b]].tobytes() for x in (key, own, marks)) for a, b in zip(starts, ends)]
+                data = [b"".join(x[row[a:b]].tobytes() for x in (key, own, marks, *more)) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array([table] * len(data), pa.int32()), pa.array(to[starts].astype(np.int64)), pa.array(data, pa.binary())], names=["table", "bucket", "data"])
 
     def receive(batches):
         at, waiting = None, []
 
         def out():
-            parts = [np.frombuffer(x, dtype="<u8").reshape(3, -1) for x in waiting]
-            key, own, marks = np.concatenate(parts, axis=1)
-            return fn(at[1], key, own.view(np.int64), marks.view(np.int64))
+            parts = [np.frombuffer(x, dtype="<u8") for x in waiting]
+            sizes = [len(x) // (3 if len(columns) == 3 else 3 + WIDE) for x in parts]
+            key, own, marks = np.concatenate([x[: 3 * n].reshape(3, n) for x, n in zip(parts, sizes)], axis=1)
+            wide = np.concatenate([x[3 * n :].reshape(n, -1) for x, n in zip(parts, sizes)])
+            return fn(at[1], key, own.view(np.int64), marks.view(np.int64), wide)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -132,7 +154,7 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) ->
         if waiting:
             yield from out()
 
-    sent = sets.select("set", "bits", "mark").mapInArrow(send, "table int, bucket long, data binary")
+    sent = sets.select(*columns).mapInArrow(send, "table int, bucket long, data binary")
     dealt = sent.repartition(min(8192, tables.count << tables.prefix), "table", "bucket").sortWithinPartitions("table", "bucket")
     return dealt.mapInArrow(receive, schema)
 
@@ -147,7 +169,7 @@ def _variants(tables: Tables, bucket: int, key: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([made, rest[~here]]), np.concatenate([np.repeat(own, low + 1), np.flatnonzero(~here)])
 
 
-def _popular(_: int, key: np.ndarray, own: np.ndarray, __: np.ndarray):
+def _popular(_: int, key: np.ndarray, own: np.ndarray, *__):
     """(set, others with the same key), if there are any."""
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     often = n[back] > 1
@@ -155,16 +177,19 @@ def _popular(_: int, key: np.ndarray, own: np.ndarray, __: np.ndarray):
 
 
 def _with_centre(tables: Tables):
-    """Each set with the set of the highest mark that it shares a variant with."""
+    """Each set with the set of the highest mark that it shares a variant with; b is null for crowded sets."""
 
-    def fn(bucket, key, own, marks):
+    def fn(bucket, key, own, marks, _):
         order = np.lexsort((own, -marks))  # the most central set first
         key, own = key[order], own[order]
         variant, place = _variants(tables, bucket, key)
         run = np.lexsort((place, variant))
         variant, place = variant[run], place[run]
         starts = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
-        centre = np.repeat(place[starts], np.diff(np.append(starts, len(variant))))
+        size = np.diff(np.append(starts, len(variant)))
+        centre = np.repeat(place[starts], size)
+        crowded = np.unique(own[place[np.repeat(size > CROWD, size)]])
+        yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.int64())], names=["a", "b"])
         best = np.arange(len(own))
         np.minimum.at(best, place, centre)
         tied = np.flatnonzero((best != np.arange(len(own))) & (own != own[best]))
@@ -173,34 +198,58 @@ def _with_centre(tables: Tables):
     return fn
 
 
-def _across(tables: Tables):
-    """All pairs that share a variant and have different marks (components)."""
+def _across(tables: Tables, limit: int | None = None):
+    """All pairs that share a variant and have different marks (components, the last bit 1 for crowded sets).
 
-    def fn(bucket, key, own, marks):
+    Without ``limit``, those that are not both crowded; with it, those that
+    differ in ``limit`` bits of ``wide`` at most.
+    """
+
+    def fn(bucket, key, own, marks, wide):
         variant, place = _variants(tables, bucket, key)
         run = np.lexsort((marks[place], variant))
         variant, place = variant[run], place[run]
-        mark = marks[place]
-        ends = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(new)), np.diff(np.append(np.flatnonzero(new), len(new))))
+        mark, crowded = marks >> 1, (marks & 1).astype(bool)
         new = np.concatenate([[True], variant[1:] != variant[:-1]])
-        stop, start = ends(new), ends(new | np.concatenate([[True], mark[1:] != mark[:-1]]))
+        stop, start = _ends(new), _ends(new | np.concatenate([[True], mark[place[1:]] != mark[place[:-1]]]))
         # a place pairs with all later ones of its variant's run that follow its component's
         n = stop - start
+        if limit is None:  # in a run of more than CROWD sets all are crowded
+            size = np.diff(np.append(np.flatnonzero(new), len(new)))
+            n = np.where(np.repeat(size > CROWD, size), 0, n)
         some = np.flatnonzero(n)
         total = np.cumsum(n[some])
         at = 0
         while at < len(some):
             upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
             rows = some[at:upto]
-            left = np.repeat(rows, n[rows])
-            right = np.repeat(start[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows]) + np.arange(len(left))
-            pair = np.unique(np.sort(np.stack([own[place[left]], own[place[right]]], axis=1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].copy()), pa.array(pair[:, 0].copy())], names=["a", "b"])
+            left = place[np.repeat(rows, n[rows])]
+            right = place[np.repeat(start[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows]) + np.arange(len(left))]
+            pair = np.unique(np.minimum(left, right) << 32 | np.maximum(left, right))
+            left, right = pair >> 32, pair & 0xFFFFFFFF
+            if limit is None:
+                near = ~(crowded[left] & crowded[right])
+            else:
+                near = np.concatenate([np.bitwise_count(wide[left[k : k + 65536]] ^ wide[right[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= limit for k in range(0, len(left), 65536)])
+            left, right = left[near], right[near]
+            yield pa.RecordBatch.from_arrays([pa.array(own[left]), pa.array(own[right])], names=["a", "b"])
             at = upto
 
     return fn
 
 
+def _ends(new: np.ndarray) -> np.ndarray:
+    """For each place, where its run ends; ``new`` marks the runs' first places."""
+    first = np.flatnonzero(new)
+    return np.repeat(np.append(first[1:], len(new)), np.diff(np.append(first, len(new))))
+
+
+def _texts_of(members: DataFrame, distinct: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(set, text): one row with each of the sets ``members``."""
+    chosen = distinct.join(members, "set").select("set", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key"))
+    return keyed.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text")
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) of the pairs whose sets are as similar as asked, by exact comparison."""
     words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(WORDS)]
@@ -209,7 +258,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: in
     for side in "ab":
         both = both.join(prints.select(F.col("set").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS))), side)
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    close = cut_lineage(both.where(differ <= CUT).select("a", "b"))
+    close = cut_lineage(both.where(differ <= cut(WORDS, similarity)).select("a", "b"))
 
     def grams_of(batches):
         for batch in batches:
@@ -217,9 +266,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: in
 
     # texts of candidates only: one row of each of their sets
     members = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).distinct()
-    chosen = distinct.join(members, "set").select("set", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key"))
-    texts = keyed.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text")
-    grams = cut_lineage(texts.mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"]))
+    grams = cut_lineage(_texts_of(members, distinct, keyed).mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"]))
 
     def verify(batches):
         for batch in batches:
@@ -246,6 +293,11 @@ def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[Dat
                 prints.append(wide_fingerprint(grams))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], names=["id", "text_key", "set", "bits"])
 
+    def fingerprints(batches):
+        for batch in batches:
+            got = [wide_fingerprint(shingle_set(b, width), WIDE) for b in byte_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(got, pa.binary())], names=["set", "wide"])
+
     keyed = docs.select("id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["id"].dataType.simpleString()
     sets = cut_lineage(keyed.mapInArrow(sketch, f"id {kind}, text_key long, set long, bits binary"))
@@ -253,10 +305,17 @@ def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[Dat
     tables = Tables(distinct.count(), similarity)
     shared = _in_buckets(distinct.withColumn("mark", F.lit(0).cast("long")), tables, 0, _popular, "set long, n long").groupBy("set").agg(F.sum("n").alias("n"))
     marked = distinct.select("set", "bits").join(shared, "set", "left").select("set", "bits", F.coalesce("n", F.lit(0)).alias("mark"))
-    first = _verified(_in_buckets(marked, tables, 1, _with_centre(tables), "a long, b long"), distinct, keyed, width, similarity)
+    met = cut_lineage(_in_buckets(marked, tables, 1, _with_centre(tables), "a long, b long"))
+    crowd = cut_lineage(met.where("b IS NULL").select(F.col("a").alias("crowded")).distinct())
+    first = _verified(met.where("b IS NOT NULL"), distinct, keyed, width, similarity)
     roots = cut_lineage(connected_components(first))
-    marked = distinct.select("set", "bits").join(roots, F.col("set") == F.col("node"), "left").select("set", "bits", F.coalesce("root", "set").alias("mark"))
-    second = _verified(_in_buckets(marked, tables, 1, _across(tables), "a long, b long"), distinct, keyed, width, similarity)
+    component = F.coalesce("root", "set").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("crowded").isNotNull().cast("long"))
+    marked = distinct.select("set", "bits").join(roots, F.col("set") == F.col("node"), "left").join(crowd, F.col("set") == F.col("crowded"), "left").select("set", "bits", component.alias("mark"))
+    pairs = _in_buckets(marked, tables, 1, _across(tables), "a long, b long")
+    if not crowd.isEmpty():
+        wide = _texts_of(crowd.select(F.col("crowded").alias("set")), distinct, keyed).mapInArrow(fingerprints, "set long, wide binary").dropDuplicates(["set"])
+        pairs = pairs.unionByName(_in_buckets(marked.join(wide, "set"), tables, 1, _across(tables, cut(WIDE, similarity)), "a long, b long"))
+    second = _verified(pairs, distinct, keyed, width, similarity)
     if not second.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = connected_components(stars.unionByName(second))
