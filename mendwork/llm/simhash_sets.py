@@ -12,17 +12,17 @@ a probability of ``RECALL`` (more similar pairs with a higher one). A variant
 belongs to the bucket of its table and leading bits; a key is sent once to
 each bucket where it has variants, and these are made there.
 
-Candidates are compared in two rounds. In the first, each set is compared in
-every bucket with the most central set it meets: the one whose keys most
-others share. That ties groups of copies together with a comparison or a few
-for each set. In the second, all candidates that lie in different components
+Candidates are compared in two rounds. In the first, each set is compared with
+one that it meets: in every bucket the most central one, whose keys most others
+share, and of these the one met in most tables. That ties groups of copies
+together with one comparison for each set. In the second, all candidates that lie in different components
 are compared; within a component no pair is sent. Sets that share a variant
-with ``CROWD`` others or more go to their buckets once more, with a fingerprint
-of 2,048 bits, and of their pairs only those that agree in it leave the bucket:
+with ``CROWD`` others or more go to their buckets once more, with the whole
+fingerprint, and of their pairs only those that agree in it leave the bucket:
 texts that are alike, but less than asked, can be many.
 No partner is left out by a cap. The comparisons of fingerprints before the
 exact one let a pair pass that differs in as many bits as one at the threshold
-may, up to 3.5 standard deviations.
+may, up to ``DEVIATIONS`` standard deviations.
 """
 
 from __future__ import annotations
@@ -40,13 +40,12 @@ from .components import connected_components
 from .simhash import ball, shingle_hashes
 
 WORDS = 16  # of 64 bits in a fingerprint
-RECALL, DEVIATIONS, CROWD = 0.998, 3.5, 8
-WIDE = 32  # words of the fingerprint of crowded sets
+RECALL, DEVIATIONS, CROWD = 0.998, 3.0, 8
 BUCKET_VARIANTS = 4_000_000  # variants made in one bucket
 PAIRS = 2_000_000  # pairs that a bucket's task holds
 
 _BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.float64)
-_SALTS = np.random.default_rng(5).integers(0, 1 << 64, (WIDE, 1), dtype=np.uint64) | np.uint64(1)
+_SALTS = np.random.default_rng(5).integers(0, 1 << 64, (WORDS, 1), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -109,13 +108,12 @@ class Tables:
             yield key
 
 
-def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) -> DataFrame:
-    """``fn(bucket, keys, sets, marks, wide)`` yields record batches, for every bucket of ``sets(set, bits, mark)``.
+def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str, whole: bool = False) -> DataFrame:
+    """``fn((table, bucket), keys, sets, marks, wide)`` yields record batches, for every bucket of ``sets(set, bits, mark)``.
 
     With ``reach`` 1, keys also go to the buckets where they have variants.
-    ``wide`` has the fingerprints of a further column ``wide``, if there is one.
+    With ``whole``, ``wide`` has the fingerprints.
     """
-    columns = ["set", "bits", "mark", *(["wide"] if "wide" in sets.columns else [])]
     shift = np.uint64(tables.bits - tables.prefix)
     flips = ball(tables.prefix, reach)
 
@@ -124,7 +122,7 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) ->
             if not batch.num_rows:
                 continue
             own, marks = (batch.column(c).to_numpy().astype("<i8") for c in ("set", "mark"))
-            more = [np.frombuffer(b"".join(batch.column("wide").to_pylist()), dtype="<u8").reshape(-1, WIDE)] if len(columns) > 3 else []
+            more = [np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype="<u8").reshape(-1, WORDS)] if whole else []
             for table, key in enumerate(tables.keys(batch.column("bits").to_pylist())):
                 to = ((key >> shift)[:, None] ^ flips[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
@@ -139,10 +137,10 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) ->
 
         def out():
             parts = [np.frombuffer(x, dtype="<u8") for x in waiting]
-            sizes = [len(x) // (3 if len(columns) == 3 else 3 + WIDE) for x in parts]
+            sizes = [len(x) // (3 + WORDS * whole) for x in parts]
             key, own, marks = np.concatenate([x[: 3 * n].reshape(3, n) for x, n in zip(parts, sizes)], axis=1)
             wide = np.concatenate([x[3 * n :].reshape(n, -1) for x, n in zip(parts, sizes)])
-            return fn(at[1], key, own.view(np.int64), marks.view(np.int64), wide)
+            return fn(at, key, own.view(np.int64), marks.view(np.int64), wide)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -154,7 +152,7 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str) ->
         if waiting:
             yield from out()
 
-    sent = sets.select(*columns).mapInArrow(send, "table int, bucket long, data binary")
+    sent = sets.select("set", "bits", "mark").mapInArrow(send, "table int, bucket long, data binary")
     dealt = sent.repartition(min(8192, tables.count << tables.prefix), "table", "bucket").sortWithinPartitions("table", "bucket")
     return dealt.mapInArrow(receive, schema)
 
@@ -169,7 +167,7 @@ def _variants(tables: Tables, bucket: int, key: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([made, rest[~here]]), np.concatenate([np.repeat(own, low + 1), np.flatnonzero(~here)])
 
 
-def _popular(_: int, key: np.ndarray, own: np.ndarray, *__):
+def _popular(_, key: np.ndarray, own: np.ndarray, *__):
     """(set, others with the same key), if there are any."""
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     often = n[back] > 1
@@ -179,10 +177,10 @@ def _popular(_: int, key: np.ndarray, own: np.ndarray, *__):
 def _with_centre(tables: Tables):
     """Each set with the set of the highest mark that it shares a variant with; b is null for crowded sets."""
 
-    def fn(bucket, key, own, marks, _):
+    def fn(at, key, own, marks, _):
         order = np.lexsort((own, -marks))  # the most central set first
         key, own = key[order], own[order]
-        variant, place = _variants(tables, bucket, key)
+        variant, place = _variants(tables, at[1], key)
         run = np.lexsort((place, variant))
         variant, place = variant[run], place[run]
         starts = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
@@ -205,8 +203,9 @@ def _across(tables: Tables, limit: int | None = None):
     differ in ``limit`` bits of ``wide`` at most.
     """
 
-    def fn(bucket, key, own, marks, wide):
-        variant, place = _variants(tables, bucket, key)
+    def fn(where, key, own, marks, wide):
+        variant, place = _variants(tables, where[1], key)
+        keys = np.stack(list(tables.keys([x.tobytes() for x in wide])))[: where[0]] if limit is not None else None
         run = np.lexsort((marks[place], variant))
         variant, place = variant[run], place[run]
         mark, crowded = marks >> 1, (marks & 1).astype(bool)
@@ -232,6 +231,9 @@ def _across(tables: Tables, limit: int | None = None):
             else:
                 near = np.concatenate([np.bitwise_count(wide[left[k : k + 65536]] ^ wide[right[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= limit for k in range(0, len(left), 65536)])
             left, right = left[near], right[near]
+            if limit is not None:  # a pair is told by the first table that it meets in
+                new_pair = ~(np.bitwise_count(keys[:, left] ^ keys[:, right]) <= 2).any(axis=0)
+                left, right = left[new_pair], right[new_pair]
             yield pa.RecordBatch.from_arrays([pa.array(own[left]), pa.array(own[right])], names=["a", "b"])
             at = upto
 
@@ -293,11 +295,6 @@ def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[Dat
                 prints.append(wide_fingerprint(grams))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], names=["id", "text_key", "set", "bits"])
 
-    def fingerprints(batches):
-        for batch in batches:
-            got = [wide_fingerprint(shingle_set(b, width), WIDE) for b in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(got, pa.binary())], names=["set", "wide"])
-
     keyed = docs.select("id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["id"].dataType.simpleString()
     sets = cut_lineage(keyed.mapInArrow(sketch, f"id {kind}, text_key long, set long, bits binary"))
@@ -307,14 +304,15 @@ def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[Dat
     marked = distinct.select("set", "bits").join(shared, "set", "left").select("set", "bits", F.coalesce("n", F.lit(0)).alias("mark"))
     met = cut_lineage(_in_buckets(marked, tables, 1, _with_centre(tables), "a long, b long"))
     crowd = cut_lineage(met.where("b IS NULL").select(F.col("a").alias("crowded")).distinct())
-    first = _verified(met.where("b IS NOT NULL"), distinct, keyed, width, similarity)
+    # of the central sets that a set meets, the one that it meets in most tables
+    often = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
+    first = _verified(often.select("a", F.col("best.b").alias("b")), distinct, keyed, width, similarity)
     roots = cut_lineage(connected_components(first))
     component = F.coalesce("root", "set").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("crowded").isNotNull().cast("long"))
     marked = distinct.select("set", "bits").join(roots, F.col("set") == F.col("node"), "left").join(crowd, F.col("set") == F.col("crowded"), "left").select("set", "bits", component.alias("mark"))
     pairs = _in_buckets(marked, tables, 1, _across(tables), "a long, b long")
     if not crowd.isEmpty():
-        wide = _texts_of(crowd.select(F.col("crowded").alias("set")), distinct, keyed).mapInArrow(fingerprints, "set long, wide binary").dropDuplicates(["set"])
-        pairs = pairs.unionByName(_in_buckets(marked.join(wide, "set"), tables, 1, _across(tables, cut(WIDE, similarity)), "a long, b long"))
+        pairs = pairs.unionByName(_in_buckets(marked.where("mark % 2 != 0"), tables, 1, _across(tables, cut(WORDS, similarity)), "a long, b long", whole=True))
     second = _verified(pairs, distinct, keyed, width, similarity)
     if not second.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
