@@ -54,14 +54,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``; what lies between is Parquet in the shared folder."""
+    """Apply STAGES to ``documents``; what lies between is Parquet in the shared folder.
+
+    That folder is deleted at the end: the last stage has written its pieces
+    to the checkpoint folder by then and reads it no more.
+    """
     at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return packed
 
 
-#: Fitted models, connected components and token ids are beyond SQL; tests hold run() against a brute-force version.
+#: Fitted models, connected components and token ids are beyond SQL. Tests hold the dedup stage against all pairs,
+#: decontamination and packing against plain versions, and check run() as a whole for what it keeps.
 ORACLE_SQL = None
