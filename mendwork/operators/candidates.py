@@ -17,16 +17,23 @@ from .schema import FIELDS, Selector, Strategy
 
 # Words, element types and labels that name a field, in order
 KEYWORDS = {
-    "product_name": "name title product-name product-title prod-title heading",
-    "price": "price cost amount value current-price final-price sale-price our-price",
-    "currency": "currency ccy curr",
-    "rating": "rating stars score star-rating avg-rating",
-    "review_count": "review-count reviews num-reviews reviews-count ratings",
-    "availability": "availability stock stock-status in-stock out-of-stock",
-    "product_url": "product-link product-url detail-link item-link",
-    "image_url": "product-image product-img main-image primary-image",
+    "product_name": ("name", "title", "product-name", "product-title", "prod-title", "heading"),
+    "price": ("price", "cost", "amount", "value", "current-price", "final-price", "sale-price", "our-price"),
+    "currency": ("currency", "ccy", "curr"),
+    "rating": ("rating", "stars", "score", "star-rating", "avg-rating"),
+    "review_count": ("review-count", "reviews", "num-reviews", "reviews-count", "ratings"),
+    "availability": ("availability", "stock", "stock-status", "in-stock", "out-of-stock"),
+    "product_url": ("product-link", "product-url", "detail-link", "item-link"),
+    "image_url": ("product-image", "product-img", "main-image", "primary-image"),
+}
+TAGS = {
+    "product_name": ("h1", "h2", "h3", "h4"),
+    "price": ("span", "div", "strong", "b"),
+    "currency": ("span", "abbr", "small"),
+    "rating": ("span", "div", "meter"),
+    "review_count": ("span", "div"),
+    "availability": ("div", "span"),
 }
-TAGS = {"product_name": "h1 h2 h3 h4", "price": "span div strong b", "currency": "span abbr small", "rating": "span div meter", "review_count": "span div", "availability": "div span"}
 LABELS = {"price": ("Price", "Buy for", "Cost"), "currency": ("Currency",), "rating": ("Rated", "Rating"), "review_count": ("reviews", "ratings"), "availability": ("Availability", "Stock")}
 TRANSFORMS = {"price": "price", "rating": "rating", "review_count": "int_from_text", "product_url": "url", "image_url": "url"}
 ATTRS = {"product_url": "href", "image_url": "src"}
@@ -34,7 +41,7 @@ ROLES = {"product_name": [(t, None) for t in ("h1", "h2", "h3", "h4")], "product
 
 def templates(field: str) -> list[dict]:
     """All candidates of a field in order; ``needs`` is a data attribute or a .class that the page must have."""
-    words, tags = KEYWORDS.get(field, "").split(), TAGS.get(field, "span div").split()
+    words, tags = KEYWORDS.get(field, ()), TAGS.get(field, ("span", "div"))
     attr, transform = ATTRS.get(field), TRANSFORMS.get(field, "text")
     out: list[dict] = []
 

@@ -136,6 +136,9 @@ def _report(checks: tuple[tuple[str, str], ...], expected: int | str | None, bas
         _positive(codes, "_code_").alias("violations_by_code"),
         F.filter(F.array(*signals), lambda x: x.isNotNull()).alias("failure_signals"),
         F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.bround(rates[f], 4))]).alias("null_rates"),
+        F.col("_filled").cast("bigint").alias("filled_cells"),
+        F.col("_valid").cast("bigint").alias("valid_records"),
+        F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f"_null_{f}").cast("bigint"))]).alias("null_counts"),
         F.create_map(*[x for k, v in weights.__dict__.items() for x in (F.lit(k), F.lit(v))]).alias("weights"),
         F.create_map(*[x for k, v in thresholds.__dict__.items() for x in (F.lit(k), F.lit(v))]).alias("thresholds"),
     ]

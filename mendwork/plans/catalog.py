@@ -116,15 +116,12 @@ def _health(spark, sf_dir, expected=100):
 
 
 def null_rates(spark, sf_dir):
-    """Rates are rounded in the report; times the records they give the counts again."""
-    rows = _health(spark, sf_dir).select("run", "records_received", F.explode("null_rates").alias("field", "rate"))
-    return rows.select("run", "field", F.round(F.col("rate") * F.col("records_received")).cast("bigint").alias("nulls"))
+    """The counts behind the rates, which are rounded in the report."""
+    return _health(spark, sf_dir).select("run", F.explode("null_counts").alias("field", "nulls"))
 
 
 def health_components(spark, sf_dir):
-    n = F.col("records_received")
-    cells = lambda c, k: F.round(F.col(c) * n * k).cast("bigint")
-    return _health(spark, sf_dir).select("run", "records_received", cells("completeness", 8).alias("filled"), cells("validity", 1).alias("valid"))
+    return _health(spark, sf_dir).select("run", "records_received", F.col("filled_cells").alias("filled"), F.col("valid_records").alias("valid"))
 
 
 def health_status(spark, sf_dir):
@@ -315,7 +312,7 @@ def rollback_state(spark, sf_dir):
 
 def similarity_lengths(spark, sf_dir):
     rows = records(spark, sf_dir).withColumn("field", F.lit("product_name"))
-    return field_scores(rows, ["run"]).select("run", F.round("similarity", 3).alias("similarity"), F.round("completeness", 3).alias("completeness"))
+    return field_scores(rows, ["run"]).select("run", "similarity", "completeness")
 
 
 def historical_overlap(spark, sf_dir):

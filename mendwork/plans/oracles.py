@@ -146,7 +146,7 @@ ORACLES = {
     "repair_history": "SELECT user_id AS scraper, event_id AS id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",
     "version_numbers": "SELECT user_id AS id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events WHERE event_type IN ('signup', 'purchase')",
     "rollback_state": "WITH s AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) AS versions, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id) SELECT id, versions, CASE WHEN last = 'error' THEN least(1, versions) ELSE versions END AS current_version FROM s",
-    "similarity_lengths": f"WITH {_R} SELECT run, round(CASE WHEN avg(length(product_name)) = 0 THEN 0 ELSE greatest(0, least(1, 1 - stddev_pop(length(product_name)) / greatest(avg(length(product_name)), 1))) END, 3) AS similarity, round(avg(CAST(product_name <> '' AS INT)), 3) AS completeness FROM r GROUP BY run",
+    "similarity_lengths": f"WITH {_R} SELECT run, round_even(CASE WHEN avg(length(product_name)) = 0 THEN 0 ELSE greatest(0, least(1, 1 - stddev_pop(length(product_name)) / greatest(avg(length(product_name)), 1))) END, 4) AS similarity, round_even(avg(CAST(product_name <> '' AS INT)), 4) AS completeness FROM r GROUP BY run",
     "historical_overlap": f"WITH {_R} SELECT run, round(avg(CAST(availability IN (SELECT availability FROM r WHERE pos % 10 = 0) AS INT)), 3) AS consistency FROM r GROUP BY run",
     "golden_accuracy": f"WITH {_R} SELECT run, round(avg((7 + CASE WHEN loose_price THEN 0 WHEN price IS NULL THEN 0 WHEN round(price, 2) = price THEN 1 ELSE 0 END) / 8.0), 3) AS field_accuracy FROM r GROUP BY run",
     "event_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
