@@ -21,6 +21,7 @@ _LOWER = bytes(range(ord("a"), ord("z") + 1))
 _DIGITS = b"0123456789"
 _SYMBOLS = b"#*$%&|<>"
 _HIGH = bytes(range(0x80, 0x100))
+_HIGH_AS_LETTERS = bytes(range(0x80)) + b"a" * 0x80
 
 
 def _count(b: bytes, chars: bytes) -> int:
@@ -77,5 +78,5 @@ def text_stats(b: bytes | None) -> tuple[int, ...]:
         max(map(len, words), default=0),
         sum(map(bytes.isupper, words)),
         _count(b, _HIGH),
-        sum(map(bytes.isalpha, b.translate(None, _HIGH + b".,").split())) if n else 0,
+        sum(map(bytes.isalpha, b.translate(_HIGH_AS_LETTERS, b".,").split())) if n else 0,
     )

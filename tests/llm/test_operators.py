@@ -228,3 +228,8 @@ def test_wrappers_and_open_heads_do_not_empty_pages():
     for page in (f"<html><head><title>x</title><body>{body}</body></html>", f"<html><head><title>x</title>{body}", f"<head><meta charset=utf-8><title>x</title><div>{body}</div>"):
         assert main_text.content_lines(page) == want
     assert main_text.content_lines(f"<body><div style='display: none'>{body}</div><p>Seen</p>") == ["Seen"]
+
+
+def test_bare_words_of_any_script():
+    stats = lambda t: dict(zip(NAMES, text_stats(t.encode())))
+    assert stats("слово, ещё одно слово.")["n_bare_words"] == 4 and stats("ab# 12 naïve été")["n_bare_words"] == 2
