@@ -43,6 +43,7 @@ WORDS = 16  # of 64 bits in a fingerprint
 RECALL, DEVIATIONS, CROWD = 0.998, 3.0, 8
 BUCKET_VARIANTS = 4_000_000  # variants made in one bucket
 PAIRS = 2_000_000  # pairs that a bucket's task holds
+FILTER_BITS = 1 << 29  # 64 MB, which is broadcast
 
 _BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.float64)
 _SALTS = np.random.default_rng(5).integers(0, 1 << 64, (WORDS, 1), dtype=np.uint64) | np.uint64(1)
@@ -229,10 +230,10 @@ def _across(tables: Tables, limit: int | None = None):
             if limit is None:
                 near = ~(crowded[left] & crowded[right])
             else:
-                near = np.concatenate([np.bitwise_count(wide[left[k : k + 65536]] ^ wide[right[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= limit for k in range(0, len(left), 65536)])
+                near = _in_pieces(lambda a, b: np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= limit, left, right)
             left, right = left[near], right[near]
             if limit is not None:  # a pair is told by the first table that it meets in
-                new_pair = ~(np.bitwise_count(keys[:, left] ^ keys[:, right]) <= 2).any(axis=0)
+                new_pair = _in_pieces(lambda a, b: ~(np.bitwise_count(keys[:, a] ^ keys[:, b]) <= 2).any(axis=0), left, right)
                 left, right = left[new_pair], right[new_pair]
             yield pa.RecordBatch.from_arrays([pa.array(own[left]), pa.array(own[right])], names=["a", "b"])
             at = upto
@@ -240,6 +241,11 @@ def _across(tables: Tables, limit: int | None = None):
     return fn
 
 
+def _in_pieces(fn, left: np.ndarray, right: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
+    """``fn`` of the pairs, of a piece of them at a time."""
+    return np.concatenate([np.zeros(0, dtype=bool), *(fn(left[k : k + piece], right[k : k + piece]) for k in range(0, len(left), piece))])
+
+
 def _ends(new: np.ndarray) -> np.ndarray:
     """For each place, where its run ends; ``new`` marks the runs' first places."""
     first = np.flatnonzero(new)
@@ -247,9 +253,20 @@ def _ends(new: np.ndarray) -> np.ndarray:
 
 
 def _texts_of(members: DataFrame, distinct: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(set, text): one row with each of the sets ``members``."""
-    chosen = distinct.join(members, "set").select("set", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key"))
-    return keyed.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text")
+    """(set, text): one row with each of the sets ``members``.
+
+    A bitmap of the text keys asked for, 16 bits a key and ``FILTER_BITS`` at
+    most, leaves nearly all other texts out of the shuffle. Beyond 33 million
+    sets it lets more of them through; the join decides in any case.
+    """
+    chosen = cut_lineage(distinct.join(members, "set").select("set", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key")))
+    bits = F.lit(min(FILTER_BITS, max(1 << 15, 16 * chosen.count()))).cast("long")
+    at = lambda key: (F.pmod(F.col(key), bits) + 1).alias("at")
+    wanted = chosen.select(at("key")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    place = F.bitmap_bit_position("at").cast("int")
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    possible = keyed.select("*", at("text_key")).join(F.broadcast(wanted), F.bitmap_bucket_number("at") == F.col("bucket")).where(F.getbit(byte, place % 8) == 1)
+    return possible.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text")
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
