@@ -42,6 +42,7 @@ from .simhash import ball, shingle_hashes
 WORDS = 16  # of 64 bits in a fingerprint
 RECALL, DEVIATIONS, CROWD = 0.998, 3.0, 8
 BUCKET_VARIANTS = 4_000_000  # variants made in one bucket
+PART_VARIANTS = 500_000  # and at a time, about
 PAIRS = 2_000_000  # pairs that a bucket's task holds
 FILTER_BITS = 1 << 29  # 64 MB, which is broadcast
 
@@ -61,8 +62,8 @@ def wide_fingerprint(grams: np.ndarray, words: int = WORDS) -> bytes:
     """64 bits for each word, each 1 if it is set in over half of the grams' hashes; no grams give zeros."""
     byte_of = 256 * np.arange(8 * words)
     counts = np.zeros(len(byte_of) * 256)
-    for at in range(0, len(grams), 1 << 14):
-        h = grams[at : at + (1 << 14)] * _SALTS[:words]
+    for at in range(0, len(grams), 1 << 12):
+        h = grams[at : at + (1 << 12)] * _SALTS[:words]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(33)
         by_byte = np.ascontiguousarray(h.T).astype("<u8").view(np.uint8).reshape(-1, len(byte_of))
@@ -110,7 +111,7 @@ class Tables:
 
 
 def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str, whole: bool = False) -> DataFrame:
-    """``fn((table, bucket), keys, sets, marks, wide)`` yields record batches, for every bucket of ``sets(set, bits, mark)``.
+    """``fn((table, bucket, prefix), keys, sets, marks, wide)`` yields record batches, for every part of a bucket of ``sets(set, bits, mark)``.
 
     With ``reach`` 1, keys also go to the buckets where they have variants.
     With ``whole``, ``wide`` has the fingerprints.
@@ -141,7 +142,8 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str, wh
             sizes = [len(x) // (3 + WORDS * whole) for x in parts]
             key, own, marks = np.concatenate([x[: 3 * n].reshape(3, n) for x, n in zip(parts, sizes)], axis=1)
             wide = np.concatenate([x[3 * n :].reshape(n, -1) for x, n in zip(parts, sizes)])
-            return fn(at, key, own.view(np.int64), marks.view(np.int64), wide)
+            for part, chosen in _parts(tables, at, key, reach):
+                yield from fn(part, key[chosen], own[chosen].view(np.int64), marks[chosen].view(np.int64), wide[chosen])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -158,9 +160,19 @@ def _in_buckets(sets: DataFrame, tables: Tables, reach: int, fn, schema: str, wh
     return dealt.mapInArrow(receive, schema)
 
 
-def _variants(tables: Tables, bucket: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _parts(tables: Tables, at: tuple[int, int], key: np.ndarray, reach: int):
+    """A bucket's own buckets, known by more leading bits: each with the places of the keys that have variants there."""
+    more = min(tables.bits - 4 - tables.prefix, max(0, math.ceil(math.log2(max(1, len(key) * (tables.bits + 1) / PART_VARIANTS)))))
+    lead = key >> np.uint64(tables.bits - tables.prefix - more)
+    for bucket in range(at[1] << more, (at[1] + 1) << more):
+        chosen = np.flatnonzero(np.bitwise_count(lead ^ np.uint64(bucket)) <= reach)
+        if len(chosen):
+            yield (at[0], bucket, tables.prefix + more), chosen
+
+
+def _variants(tables: Tables, bucket: int, prefix: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(variant's lower bits, place of its key) of all variants of one bit or none that lie in the bucket."""
-    low = tables.bits - tables.prefix
+    low = tables.bits - prefix
     rest = key & np.uint64((1 << low) - 1)
     here = (key >> np.uint64(low)) == np.uint64(bucket)
     own = np.flatnonzero(here)
@@ -181,7 +193,7 @@ def _with_centre(tables: Tables):
     def fn(at, key, own, marks, _):
         order = np.lexsort((own, -marks))  # the most central set first
         key, own = key[order], own[order]
-        variant, place = _variants(tables, at[1], key)
+        variant, place = _variants(tables, *at[1:], key)
         run = np.lexsort((place, variant))
         variant, place = variant[run], place[run]
         starts = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
@@ -205,7 +217,7 @@ def _across(tables: Tables, limit: int | None = None):
     """
 
     def fn(where, key, own, marks, wide):
-        variant, place = _variants(tables, where[1], key)
+        variant, place = _variants(tables, *where[1:], key)
         keys = np.stack(list(tables.keys([x.tobytes() for x in wide])))[: where[0]] if limit is not None else None
         run = np.lexsort((marks[place], variant))
         variant, place = variant[run], place[run]
