@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -40,6 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver find the shuffles that no frame needs any more, whose files are deleted then.
+
+    Spark does so whenever the driver collects garbage, which may be late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder(id_col: str, divisor: int):
     """crc32 of the id's decimal text modulo ``divisor``; null ids give null, so they are in no fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor

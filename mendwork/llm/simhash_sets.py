@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut_lineage
+from .common import byte_texts, cut_lineage, free_shuffles
 from .components import connected_components
 from .simhash import ball, shingle_hashes
 
@@ -290,6 +290,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: in
         both = both.join(prints.select(F.col("set").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS))), side)
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     close = cut_lineage(both.where(differ <= cut(WORDS, similarity)).select("a", "b"))
+    free_shuffles(close.sparkSession)
 
     def grams_of(batches):
         for batch in batches:
@@ -332,11 +333,13 @@ def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[Dat
     shared = _in_buckets(distinct.withColumn("mark", F.lit(0).cast("long")), tables, 0, _popular, "set long, n long").groupBy("set").agg(F.sum("n").alias("n"))
     marked = distinct.select("set", "bits").join(shared, "set", "left").select("set", "bits", F.coalesce("n", F.lit(0)).alias("mark"))
     met = cut_lineage(_in_buckets(marked, tables, 1, _with_centre(tables), "a long, b long"))
+    free_shuffles(docs.sparkSession)
     crowd = cut_lineage(met.where("b IS NULL").select(F.col("a").alias("crowded")).distinct())
     # of the central sets that a set meets, the one that it meets in most tables
     often = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
     first = _verified(often.select("a", F.col("best.b").alias("b")), distinct, keyed, width, similarity)
     roots = cut_lineage(connected_components(first))
+    free_shuffles(docs.sparkSession)
     component = F.coalesce("root", "set").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("crowded").isNotNull().cast("long"))
     marked = distinct.select("set", "bits").join(roots, F.col("set") == F.col("node"), "left").join(crowd, F.col("set") == F.col("crowded"), "left").select("set", "bits", component.alias("mark"))
     pairs = _in_buckets(marked, tables, 1, _across(tables), "a long, b long")
