@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, fixity, gam, language, main_text, mixing, packing, quality_rules, simhash
+from . import attribution, decontaminate, fixity, gam, language, line_runs, main_text, mixing, packing, periodic, quality_rules, simhash, spelling
 from .common import cut_lineage, held_out, remainder, table
 
 
@@ -88,7 +88,49 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_rules, op2_simhash, op3_warc_fixity, op4_packing, op5_lm_scoring, op6_token_attribution, op7_html_extraction, op8_decontamination, op9_quality_classifier, op10_language_id)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth, by crc32 of the id, repeat a stretch of words to their end; null ids and null texts stay."""
+    hashed = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    chosen = (F.col("_h") % 10 == 0) & F.col("text").isNotNull()
+    words = F.filter(F.split(F.when(chosen, F.col("text")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    rows = hashed.withColumns({"_w": words, "_g": F.floor(F.col("_h") / 10)})
+    rows = rows.withColumns({"_n": F.size("_w"), "_a": (F.col("_g") % F.greatest(F.size("_w"), F.lit(1))).cast("int")})
+    rest = F.col("_n") - F.col("_a")
+    rows = rows.withColumn("_p", (F.lit(1) + F.floor(rest / (F.lit(3) + F.col("_g") % 8))).cast("int"))
+    cycle = F.slice("_w", F.col("_a") + 1, F.col("_p"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.with_runs(docs)
+    # the longest first; ties by the smallest start, then period
+    best = F.array_min(F.transform("periodic_runs", lambda r: F.struct((-r["length"]).alias("k"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("periodic_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("periodic_runs").cast("long").alias("n_runs"), best.alias("_b"), listed.alias("_l"), "collapsed_text")
+    length, period = -F.col("_b.k"), F.col("_b.period")
+    return rows.select(
+        "doc_id", "n_runs", F.col("_b.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("_l", 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), noise=199)
+    return spelling.variants(words.where("n >= 5")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_quality_rules, op2_simhash, op3_warc_fixity, op4_packing, op5_lm_scoring, op6_token_attribution, op7_html_extraction, op8_decontamination, op9_quality_classifier, op10_language_id,
+    op11_line_dedup, op12_periodic_runs, op13_spelling_variants,
+)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
@@ -121,4 +163,11 @@ g AS (SELECT file, count(*) AS k, string_agg(printf('%010d:%s', a0.pos, CASE WHE
 SELECT CAST(file AS VARCHAR) AS file, records, bytes, a4.hash AS root_a, b4.hash AS root_b, a4.hash IS NOT DISTINCT FROM b4.hash AS intact, coalesce(k, 0) AS n_damaged, coalesce(l, '') AS damaged
 FROM a4 JOIN s USING (file) LEFT JOIN b4 USING (file) LEFT JOIN g USING (file)"""
 
-ORACLES: dict[str, str] = {"op3_warc_fixity": _OP3, "op8_decontamination": _OP8}
+_OP11 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT id) >= 3),
+j AS (SELECT k.*, f.key IS NOT NULL AND k.id <> f.keeper AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY r, doc_id"""
+
+ORACLES: dict[str, str] = {"op3_warc_fixity": _OP3, "op8_decontamination": _OP8, "op11_line_dedup": _OP11}
