@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .schema import FIELDS
 
+#: what a baseline report is asked for
+_BASELINE = {"health_score": "double", "records_received": "bigint", "null_rates": "map<string,double>", "fingerprint": "string"}
+
 
 def _broken(rates: Column) -> Column:
     return F.array_sort(F.map_keys(F.map_filter(rates, lambda _, r: r >= 0.5)))
@@ -21,13 +24,17 @@ def detect(current: DataFrame, baseline: DataFrame | None, keys: list[str], on:
     Without a baseline row, deltas are the current rates and drops are zero.
     """
     rows = current
-    prints = "fingerprint" in current.columns
     if baseline is None:
-        fields = {f"_b_{c}": F.lit(None).cast(t) for c, t in (("health_score", "double"), ("records_received", "bigint"), ("null_rates", "map<string,double>"), ("fingerprint", "string"))}
-        rows = rows.withColumns(fields)
+        rows = rows.withColumns({f"_b_{c}": F.lit(None).cast(t) for c, t in _BASELINE.items()})
     else:
         own = baseline.select(*(on or []), *[F.col(c).alias(f"_b_{c}") for c in ("health_score", "records_received", "null_rates")], (F.col("fingerprint") if "fingerprint" in baseline.columns else F.lit(None).cast("string")).alias("_b_fingerprint"))
         rows = rows.join(own, on, "left") if on else rows.join(own, F.lit(True), "left")
+    return _detected(rows, keys, healthy, critical_drop, warning_drop, critical_spike)
+
+
+def _detected(rows: DataFrame, keys: list[str], healthy: float, critical_drop: float, warning_drop: float, critical_spike: float) -> DataFrame:
+    """Detection reports of rows that have their baseline beside them, in ``_b_`` columns."""
+    prints = "fingerprint" in rows.columns
     there = F.col("_b_health_score").isNotNull()
     score = F.col("health_score")
     now, before = _broken(F.col("null_rates")), F.when(there, _broken(F.col("_b_null_rates"))).otherwise(F.array().cast("array<string>"))
@@ -93,3 +100,32 @@ def accuracy(rows: DataFrame, detected: str = "detected", truth: str = "truth")
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     p, r = part(tp, tp + fp), part(tp, tp + fn)
     return counts.select("tp", "tn", "fp", "fn", F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(part(2 * p * r, p + r), 4).alias("f1"), F.bround(part(tp + tn, tp + tn + fp + fn), 4).alias("accuracy"))
+
+
+
+def baseline_as_of(reports: DataFrame, keys: list[str], order: str = "run", span: int = 65_536) -> DataFrame:
+    """Append ``baseline``: what the latest healthy run before each run reported, as a struct; null if there is none.
+
+    ``reports`` has a row per run; ``order`` is an integer that no two runs of
+    a scraper (``keys``) share. A history is cut into chunks of ``span`` orders.
+    A run looks back within its chunk by a window, and beyond it at the last
+    good report of the chunks before, of which there is a row each; so a task
+    sorts one chunk, however long the history of a single scraper is.
+    """
+    held = [c for c in _BASELINE if c in reports.columns]
+    good = F.when(F.col("status") == "healthy", F.struct(order, *held))
+    rows = reports.withColumn("_chunk", F.floor(F.col(order) / span))
+    own = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max_by(good, F.when(good.isNotNull(), F.col(order))).alias("_good"))
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "_chunk", F.last("_good", ignorenulls=True).over(past).alias("_before"))
+    found = rows.withColumn("_own", F.last(good, ignorenulls=True).over(own)).join(before, [*keys, "_chunk"], "left")
+    return found.withColumn("baseline", F.coalesce("_own", "_before")).drop("_own", "_before", "_chunk")
+
+
+def detect_as_of(reports: DataFrame, keys: list[str], order: str = "run", span: int = 65_536, healthy: float = 0.90, critical_drop: float = 0.20, warning_drop: float = 0.05, critical_spike: float = 0.40) -> DataFrame:
+    """A detection report for every run, by ``keys`` and ``order``, against the latest healthy run before it."""
+    rows = baseline_as_of(reports, keys, order, span)
+    there = {f.name for f in rows.schema["baseline"].dataType}
+    rows = rows.withColumns({f"_b_{c}": F.col(f"baseline.{c}") if c in there else F.lit(None).cast(t) for c, t in _BASELINE.items()})
+    return _detected(rows, [*keys, order], healthy, critical_drop, warning_drop, critical_spike)

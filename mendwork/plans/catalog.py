@@ -211,13 +211,13 @@ def dom_fingerprints(spark, sf_dir):
 SITE = 20
 
 
-def _products(spark, sf_dir):
-    """Clean products of ``part`` as sites of 20, the golden records of the layouts."""
+def _products(spark, sf_dir, size=SITE):
+    """Clean products of ``part`` as sites of ``size``, the golden records of the layouts."""
     rows = _table(spark, sf_dir, "part").where("p_partkey >= 0")
     name = F.concat_ws(" ", F.col("p_name"), F.lit("&"), F.col("p_partkey").cast("string"))
     link = lambda kind: F.concat(F.lit(f"http://127.0.0.1:8765/{kind}/"), F.col("p_partkey").cast("string"))
     return rows.select(
-        F.floor(F.col("p_partkey") / SITE).alias("site"), (F.col("p_partkey") % SITE).cast("int").alias("pos"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_id"), name.alias("product_name"),
+        F.floor(F.col("p_partkey") / size).alias("site"), (F.col("p_partkey") % size).cast("int").alias("pos"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_id"), name.alias("product_name"),
         F.round(F.col("p_partkey") % 5000 + F.lit(1.25), 2).alias("price"), F.lit("INR").alias("currency"), (F.col("p_size") % 5).cast("double").alias("rating"), (F.col("p_size") * 100).cast("bigint").alias("review_count"),
         F.when(F.col("p_size") % 4 == 0, "Out of Stock").otherwise("In Stock").alias("availability"), link("p").alias("product_url"), link("img").alias("image_url"), F.create_map().cast("map<string,string>").alias("loose"),
     )

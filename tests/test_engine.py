@@ -10,27 +10,12 @@ from mendwork.operators.extract import extract
 from mendwork.operators.health import broken_fields, health
 from mendwork.operators.schema import HealthThresholds, HealthWeights, Selector, Strategy, default_strategy
 from mendwork.plans.session import Session
-from mendwork.sources.layouts import LAYOUTS, pages
+from mendwork.sources.layouts import LAYOUTS
 from mendwork.sources.pages import PageStore, ProviderUnavailable, ProxySource
 
 BASE = "http://127.0.0.1:8765"
 
 
-@pytest.fixture(scope="session")
-def products(spark):
-    i = F.col("id")
-    return spark.range(20).select(
-        i.cast("int").alias("pos"), F.format_string("MK-%d", i + 1001).alias("product_id"), F.format_string('Item "x" & %d', i).alias("product_name"), (i * 1201.5 + 449).alias("price"), F.lit("INR").alias("currency"),
-        ((40 + i % 8) / 10).alias("rating"), (i * 250 + 219).alias("review_count"), F.when(i == 6, "Out of Stock").otherwise("In Stock").alias("availability"),
-        F.format_string(f"{BASE}/p/MK-%d", i + 1001).alias("product_url"), F.format_string(f"{BASE}/img/MK-%d.jpg", i + 1001).alias("image_url"), F.create_map().cast("map<string,string>").alias("loose"),
-    ).cache()
-
-
-@pytest.fixture(scope="session")
-def site(products):
-    return pages(products).cache()
-
-
 @pytest.fixture(scope="session")
 def reports(site):
     records = extract(site, default_strategy(), ["layout", "page_no"]).records.cache()
