@@ -33,7 +33,7 @@ RUNS = T.StructType([
 ])
 
 #: words that are looked at for triples together; a longer document is looked at alone
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: passes of splitting; a stretch that could be split further costs time, not results
 PASSES = 32
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -226,7 +226,7 @@ def with_runs(docs: DataFrame, text: str = "text", least: int = 6) -> DataFrame:
     without words has no runs and an empty collapsed text. Texts do not move;
     repeated rows are treated alike. Columns of these names are replaced.
 
-    A task holds its batch's words, and the trees of one stretch of a document
+    A task holds the words of a chunk of documents, and the trees of one stretch of a document
     at a time, some 0.5 KB for each of its words.
     """
     if least < 6:
@@ -234,18 +234,19 @@ def with_runs(docs: DataFrame, text: str = "text", least: int = 6) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            documents = [(t or b"").split() for t in byte_texts(batch.column(text))]
             starts, lengths, periods, counts, texts = [], [], [], [0], []
-            begin = held = 0
-            for n, words in enumerate(documents):
-                held += len(words)
-                if held >= CHUNK or n + 1 == len(documents):
-                    for own, runs in zip(documents[begin : n + 1], find_runs(documents[begin : n + 1], least)):
+            column, held, size = batch.column(text), [], 0
+            for n in range(len(column)):
+                # only the words of one chunk are there at a time
+                held.append((byte_texts(column.slice(n, 1))[0] or b"").split())
+                size += len(held[-1])
+                if size >= CHUNK or n + 1 == len(column):
+                    for words, runs in zip(held, find_runs(held, least)):
                         for s, length, period in runs:
                             starts.append(s), lengths.append(length), periods.append(period)
                         counts.append(len(starts))
-                        texts.append(collapsed(own, runs).decode())
-                    begin, held = n + 1, 0
+                        texts.append(collapsed(words, runs).decode())
+                    held, size = [], 0
             values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (starts, lengths, periods)], names=["start", "length", "period"])
             return {"periodic_runs": pa.ListArray.from_arrays(pa.array(counts, pa.int32()), values), "collapsed_text": pa.array(texts, pa.string())}
 
