@@ -2,15 +2,15 @@
 
 All candidates that the vocabulary can give are a constant table of a few
 hundred rows, each with what it needs to be present in the page; a page's
-candidates are that table joined on the broken field and filtered by the
-page's classes and data attributes.
+candidates are those of its broken fields, filtered by the page's classes and
+data attributes where the page is parsed.
 """
 
 from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schema import FIELDS, Selector, Strategy
@@ -74,34 +74,6 @@ class CandidateProvider(Protocol):
     def propose(self, field: str, html: str, strategy: Strategy, broken_examples: list) -> list[Selector]: ...
 
 
-def vocabulary(spark: SparkSession) -> DataFrame:
-    """The templates of all fields as a table; field '' stands for fields beyond the schema."""
-    rows = [(f, n, c["kind"], c["value"], c["attr"], c["transform"], c["source"], c["rationale"], c["needs"]) for f in (*FIELDS, "") for n, c in enumerate(templates(f))]
-    return spark.createDataFrame(rows, "_field string, gen_ord int, kind string, value string, attr string, transform string, source string, rationale string, needs string")
-
-
-def generate(pages: DataFrame, keys: list[str], field: str = "field", historical: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """Ordered candidates: keys, field, gen_ord, kind, value, attr, transform, source, rationale.
-
-    ``pages`` has a row per page and broken field with the page's ``classes``
-    and ``data_attrs``. ``historical`` (keys, field, kind, value, attr,
-    transform, ord) are former selectors, appended unless already there.
-    ``extra`` (same columns and rationale) are a plug-in's, appended as they are.
-    """
-    none = F.array().cast("array<string>")
-    there = F.col("needs").isNull() | F.array_contains(F.coalesce("data_attrs", none), F.col("needs")) | (F.col("needs").startswith(".") & F.array_contains(F.coalesce("classes", none), F.substring("needs", 2, 1 << 20)))
-    rows = pages.select(*keys, F.col(field).alias("field"), "classes", "data_attrs", F.when(F.col(field).isin(*FIELDS), F.col(field)).otherwise("").alias("_field"))
-    names = ("kind", "value", "attr", "transform", "source", "rationale")
-    out = rows.join(F.broadcast(vocabulary(pages.sparkSession)), "_field").where(there).select(*keys, "field", "gen_ord", *names)
-    if historical is not None:
-        old = historical.select(*keys, "field", (F.lit(1_000_000) + F.col("ord")).cast("int").alias("gen_ord"), "kind", "value", "attr", "transform", F.lit("historical").alias("source"), F.lit("previously deployed selector").alias("rationale"))
-        once = Window.partitionBy(*keys, "field", "kind", "value", "attr").orderBy("gen_ord")
-        out = out.unionByName(old).withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    if extra is not None:
-        out = out.unionByName(extra.select(*keys, "field", (F.lit(2_000_000) + F.col("ord")).cast("int").alias("gen_ord"), "kind", "value", "attr", "transform", F.lit("llm").alias("source"), "rationale"))
-    return out
-
-
 def propose_with(provider: CandidateProvider, pages: DataFrame, keys: list[str], strategy: Strategy, html: str = "html", field: str = "field") -> DataFrame:
     """Candidates of a plug-in for every page and broken field, asked inside the tasks."""
     import pandas as pd

@@ -1,8 +1,10 @@
 """Repair: generate, test, score, rank and gate candidates for broken fields.
 
-Candidates of all pages are tested together. A page is parsed once for all its
-candidates; only the swapped field's raw values are read again, the other
-fields come from the page's base extraction, and html never leaves its task.
+A page is parsed once, in one task, for everything that repair asks of it: the
+records under the present strategy, the vocabulary that decides which
+candidates there are, and the raw values of all candidates at all record
+roots. What leaves the task has no html and is written once; the swapped field
+alone is read again from it, the other fields come from the present records.
 """
 
 from __future__ import annotations
@@ -15,44 +17,114 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import normalize as N
 from ..functions.memo import memo
+from ..functions.stage import stage
 from ..functions.urls import base_of
 from . import dom
-from .candidates import generate
+from .candidates import templates
 from .dedupe import dedupe
-from .extract import parse_pages, records_of
+from .extract import RAW, records_of
 from .schema import FIELDS, ID, KINDS, Selector, Strategy
 from .score import TOP_K, WEIGHTS, field_scores, gate, rank
 
-VALUES = T.StructType([
-    T.StructField("field", T.StringType()), T.StructField("gen_ord", T.IntegerType()), T.StructField("transform", T.StringType()), T.StructField("raws", T.ArrayType(T.StringType())),
+_TEXTS = ("kind", "value", "attr", "transform", "source", "rationale")
+CANDIDATE = T.StructType([T.StructField("field", T.StringType()), T.StructField("gen_ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in _TEXTS]])
+PROBE = T.StructType([
+    T.StructField("records", T.ArrayType(T.MapType(T.StringType(), RAW))),
+    T.StructField("candidates", T.ArrayType(T.StructType([*CANDIDATE, T.StructField("raws", T.ArrayType(T.StringType()))]))),
 ])
 
 
-def candidate_values(pages: DataFrame, keys: list[str], strategy: str = "strategy", html: str = "html") -> DataFrame:
-    """Raw values of all candidates at all record roots: keys, field, gen_ord, transform, raws.
-
-    ``pages`` has a row per page with its ``candidates``: an array of structs
-    (field, gen_ord, kind, value, attr, transform).
+class _Root:
+    """First matches under one record root, looked up by what candidates ask for; one walk for all of them."""
+
+    def __init__(self, root: dom.Element) -> None:
+        self.root, self.first, self.texts = root, {}, {}
+        numbers: dict[tuple[int, str], int] = {}
+        for e in root.walk():
+            nth = numbers[id(e.parent), e.tag] = numbers.get((id(e.parent), e.tag), 0) + 1
+            keys = [(("tag", e.tag),), (("tag", e.tag), ("nth", nth))]
+            for c in e.classes:
+                keys += [(("class", c),), (("tag", e.tag), ("class", c))]
+            for name, value in e.attrs.items():
+                keys += [(("has", name),), (("tag", e.tag), ("has", name)), (("is", name, value),)]
+            for key in keys:
+                self.first.setdefault(key, e)
+
+    @staticmethod
+    def key(selector: str) -> tuple | None:
+        """What ``first`` has for a selector of one compound; null for others."""
+        steps = dom.compiled(selector)
+        if len(steps) != 1 or len(steps[0]) != 1:
+            return None
+        out = []
+        for kind, name, op, value in steps[0][0][1]:
+            if kind == "attr" and op in (None, "="):
+                out.append(("has", name) if op is None else ("is", name, value))
+            elif kind in ("tag", "class"):
+                out.append((kind, name))
+            elif kind == "pseudo" and name == "nth-of-type" and len(out) == 1:
+                out.append(("nth", value))
+            else:
+                return None
+        return tuple(out) if len(out) == 1 or len(out) == 2 and out[0][0] == "tag" and out[1][0] in ("class", "has", "nth") else None
+
+    def value(self, kind: str, value: str, attr: str | None, key: tuple | None) -> str | None:
+        if kind != "css" or key is None:
+            return dom.first_value(self.root, kind, value, attr)
+        e = self.first.get(key)
+        if e is None or attr:
+            return None if e is None else e.attrs.get(attr)
+        if id(e) not in self.texts:
+            self.texts[id(e)] = e.text()
+        return self.texts[id(e)]
+
+
+def probe(pages: DataFrame, keys: list[str], html: str = "html", strategy: str = "strategy", given: str | None = None) -> DataFrame:
+    """(keys, PROBE) of each page with its ``broken_fields``: present raw records, and candidates with their raw values.
+
+    ``given`` names an array of further CANDIDATE structs of the page: those of
+    source ``historical`` count unless the same selector is there already,
+    others always. Candidates are in the order of ``gen_ord``.
     """
-    schema = T.StructType([*[pages.schema[k] for k in keys], *VALUES])
+    schema = T.StructType([*[pages.schema[k] for k in keys], *PROBE])
     arrow = to_arrow_schema(schema)
+    table = {f: templates(f) for f in (*FIELDS, "")}
+
+    def candidates(field: str, words: set[str], attrs: set[str], more: list[dict]):
+        seen = set()
+        for n, c in enumerate(table.get(field, table[""])):
+            need = c["needs"]
+            if need is None or need in attrs or need[:1] == "." and need[1:] in words:
+                seen.add((c["kind"], c["value"], c["attr"]))
+                yield {"field": field, "gen_ord": n, **{k: c[k] for k in _TEXTS}}
+        for c in sorted(more, key=lambda c: c["gen_ord"]):
+            same = (c["kind"], c["value"], c["attr"])
+            if c["source"] != "historical" or same not in seen:
+                seen.add(same)
+                yield c
+
+    def probed(page: str | None, own: Strategy, broken: list[str], more: list[dict]) -> dict:
+        root = dom.parse(page)
+        elements = list(root.walk())
+        words, attrs = {c.lower() for e in elements for c in e.classes}, {a for e in elements for a in e.attrs if a.startswith("data-")}
+        roots = [_Root(e) for e in (dom.select(root, own.record_selector) if own.record_selector else ())]
+        known = {f: _Root.key(s.value) if s.kind == "css" else None for f, s in own.fields.items()}
+        made = []
+        for field in broken:
+            for c in candidates(field, words, attrs, [m for m in more if m["field"] == field]):
+                key = _Root.key(c["value"]) if c["kind"] == "css" else None
+                made.append({**c, "raws": [r.value(c["kind"], c["value"], c["attr"], key) for r in roots]})
+        return {"records": [[(f, {"raw": r.value(s.kind, s.value, s.attr, known[f]), "transform": s.transform}) for f, s in own.fields.items()] for r in roots], "candidates": made}
 
     def run(batches):
         for batch in batches:
-            at, out = [], {f.name: [] for f in VALUES}
-            for row, (page, text, wanted) in enumerate(zip(batch.column("_html").to_pylist(), batch.column("_strategy").to_pylist(), batch.column("candidates").to_pylist())):
-                selector = Strategy.from_json(text).record_selector
-                roots = list(dom.select(dom.parse(page), selector)) if selector else []
-                for c in wanted or ():
-                    at.append(row)
-                    out["field"].append(c["field"])
-                    out["gen_ord"].append(c["gen_ord"])
-                    out["transform"].append(c["transform"])
-                    out["raws"].append([dom.first_value(r, c["kind"], c["value"], c["attr"]) for r in roots])
-            held = [batch.column(k).take(pa.array(at, pa.int32())) for k in keys]
-            yield pa.RecordBatch.from_arrays([*held, *(pa.array(out[f.name], arrow.field(f.name).type) for f in VALUES)], names=arrow.names)
-
-    return pages.select(*keys, F.col(html).alias("_html"), F.col(strategy).alias("_strategy"), "candidates").mapInArrow(run, schema)
+            columns = [batch.column(c).to_pylist() for c in ("_html", "_strategy", "broken_fields", "_given")]
+            rows = [probed(page, Strategy.from_json(text), broken or [], more or []) for page, text, broken, more in zip(*columns)]
+            made = [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in PROBE]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], names=arrow.names)
+
+    more = F.col(given) if given else F.lit(None).cast(T.ArrayType(CANDIDATE))
+    return pages.select(*keys, F.col(html).alias("_html"), F.col(strategy).alias("_strategy"), "broken_fields", more.alias("_given")).mapInArrow(run, schema)
 
 
 @memo
@@ -102,16 +174,23 @@ def repair(
     winner, its scores, action and reason, and the number of candidates kept
     (``top_k`` at most). A field without candidates is rejected. ``golden`` is
     joined on ``pos`` and the ``site`` columns, which are among the keys.
+    ``historical`` (keys, field, kind, value, attr, transform, ord) are former
+    selectors, appended unless already there; ``extra`` (same columns and
+    rationale) are a plug-in's, appended as they are. ``historical_values``
+    (field, value and any of the keys) are former values.
     """
     held = [*dict.fromkeys([*keys, url])]
-    parsed = parse_pages(broken, held, html, strategy)
-    base = records_of(parsed, keys, F.col(url))
+    pages, given = broken, None
+    if historical is not None or extra is not None:
+        # few rows: former selectors and a plug-in's proposals go to the pages
+        listed = _given(historical, extra, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("_given"))
+        pages, given = broken.join(listed, keys, "left"), "_given"
+    probed = stage(probe(pages, held, html, strategy, given))
+    base = records_of(probed, keys, F.col(url))
     fields = broken.select(*keys, F.explode("broken_fields").alias("field"))
-    facts = parsed.select(*keys, "classes", "data_attrs").join(fields, keys)
-    made = generate(facts, keys, "field", historical, extra)
-    listed = made.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("field", "gen_ord", "kind", "value", "attr", "transform"))).alias("candidates"))
-    values = candidate_values(broken.join(listed, keys), keys, strategy, html)
-    records = swapped_records(values, base, keys, url) if url in keys else swapped_records(values.join(broken.select(*held), keys), base, keys, url)
+    tested = probed.select(*held, F.explode("candidates").alias("_c")).select(*held, "_c.*")
+    made = tested.select(*keys, *CANDIDATE.names)
+    records = swapped_records(tested, base, keys, url)
     found = field_scores(records, [*keys, "gen_ord"], golden, historical_values, site)
     # a candidate that gives no records scores zero, with the neutral share for its missing history
     scored = made.join(found, [*keys, "field", "gen_ord"], "left").fillna(0.0, subset=[*WEIGHTS, "total"])
@@ -144,11 +223,30 @@ def proposed(strategy: Strategy, field_repairs: list) -> Strategy:
     return Strategy(f"{strategy.name}-repair", strategy.record_selector, fields, strategy.next_page_selector, "repaired")
 
 
-def with_proposed(plan: DataFrame, strategy: str) -> DataFrame:
-    """Append the proposed strategy's JSON to plans; ``strategy`` names the column with the old one's."""
+def _given(historical: DataFrame | None, extra: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(keys, c): CANDIDATE structs of former selectors and of a plug-in, in this order."""
+    parts = []
+    for rows, first, source, why in ((historical, 1_000_000, "historical", F.lit("previously deployed selector")), (extra, 2_000_000, "llm", F.col("rationale"))):
+        if rows is not None:
+            columns = {"field": F.col("field"), "gen_ord": (F.lit(first) + F.col("ord")).cast("int"), **{c: F.col(c) for c in _TEXTS[:4]}, "source": F.lit(source), "rationale": why}
+            parts.append(rows.select(*keys, F.struct(*[columns[f.name].alias(f.name) for f in CANDIDATE]).alias("c")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
 
-    @F.udf("string")
-    def swap(old, repairs):
-        return proposed(Strategy.from_json(old), repairs).to_json()
+SELECTOR = "struct<kind:string,value:string,attr:string,transform:string>"
+STRATEGY = f"name string, record_selector string, fields map<string,{SELECTOR}>, next_page_selector string, notes string"
 
-    return plan.withColumn("proposed", swap(F.col(strategy), F.col("field_repairs")))
+
+def proposed_json(strategy: Column | str, field_repairs: Column | str) -> Column:
+    """The JSON of a strategy with the promoted and shadow winners of ``field_repairs`` in their places, others behind."""
+    old = F.from_json(strategy, STRATEGY)
+    used = F.filter(field_repairs, lambda r: r["action"].isin("promote", "shadow"))
+    new = F.map_from_entries(F.transform(used, lambda r: F.struct(r["field"], F.struct(r["kind"], r["value"], r["attr"], r["transform"]))))
+    kept = F.transform_values(old["fields"], lambda k, v: F.coalesce(new[k], v))
+    fields = F.map_concat(kept, F.map_filter(new, lambda k, _: ~F.map_contains_key(old["fields"], k)))
+    return F.to_json(F.struct(F.concat(old["name"], F.lit("-repair")).alias("name"), old["record_selector"].alias("record_selector"), fields.alias("fields"), old["next_page_selector"].alias("next_page_selector"), F.lit("repaired").alias("notes")))
+
+
+def with_proposed(plan: DataFrame, strategy: str) -> DataFrame:
+    """Append the proposed strategy's JSON to plans; ``strategy`` names the column with the old one's."""
+    return plan.withColumn("proposed", proposed_json(F.col(strategy), F.col("field_repairs")))

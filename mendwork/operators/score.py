@@ -43,8 +43,8 @@ def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None
     places ``pos`` in each group. ``golden``: records by ``pos`` (and the
     ``site`` columns, which are among the groups) to compare with; without it,
     similarity is how even the values' lengths are.
-    ``historical`` (field, value as text): former values; without any for a
-    field, consistency is 0.5. Components and total are rounded to 4 places,
+    ``historical`` (field, value as text, and any of the groups): former values
+    of those groups; without any for a field, consistency is 0.5. Components and total are rounded to 4 places,
     the total from the unrounded ones.
     """
     value, typed = _by_field(shown), _by_field(lambda f: F.col(f).isNotNull() & ~F.coalesce(F.map_contains_key("loose", f), F.lit(False)))
@@ -64,9 +64,11 @@ def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None
         mean = F.avg(length)
         aggregates.append(F.when((F.count("_v") == 0) | (mean == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.stddev_pop(length) / F.greatest(mean, F.lit(1.0))))).alias("similarity"))
     if historical is not None:
-        bag = historical.where("value IS NOT NULL").groupBy("field").agg(F.count("*").alias("_bag"))
-        seen = historical.where("value IS NOT NULL").select("field", F.col("value").alias("_v"), F.lit(1).alias("_seen")).distinct()
-        rows = rows.join(seen, ["field", "_v"], "left").join(bag, "field", "left")
+        by = [*[g for g in groups if g in historical.columns], "field"]
+        past = historical.where("value IS NOT NULL")
+        bag = past.groupBy(*by).agg(F.count("*").alias("_bag"))
+        seen = past.select(*by, F.col("value").alias("_v"), F.lit(1).alias("_seen")).distinct()
+        rows = rows.join(seen, [*by, "_v"], "left").join(bag, by, "left")
         aggregates.append(F.when(F.max("_bag") > 0, F.avg(F.coalesce("_seen", F.lit(0)))).otherwise(0.5).alias("historical_consistency"))
     else:
         aggregates.append(F.lit(0.5).alias("historical_consistency"))

@@ -253,8 +253,15 @@ def _sick(spark, sf_dir):
     return pages.withColumns({"broken_fields": broken, "strategy": F.lit(default_strategy().to_json())})
 
 
+def _golden(spark, sf_dir):
+    """The products of the first pages, by the places that their cards have there."""
+    rows = _products(spark, sf_dir).where("pos < 10")
+    first = rows.groupBy("site").agg(F.min("pos").alias("_first"))
+    return rows.join(first, "site").withColumn("pos", (F.col("pos") - F.col("_first")).cast("int")).drop("_first")
+
+
 def _repairs(spark, sf_dir):
-    return repair(_sick(spark, sf_dir), ["site", "layout"])
+    return repair(_sick(spark, sf_dir), ["site", "layout"], golden=_golden(spark, sf_dir), site=["site"])
 
 
 def candidate_counts(spark, sf_dir):

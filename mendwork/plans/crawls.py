@@ -16,12 +16,14 @@ from ..functions.stage import shared_folder, stage
 from ..operators import nodes
 from ..operators.detect import detect_as_of
 from ..operators.health import health
+from ..operators.history import former_selectors, former_values
 from ..operators.paginate import extract_all
+from ..operators.repair import repair
 from ..operators.schema import Selector, Strategy, default_strategy
 from ..sources.layouts import pages as layout_pages
 from ..sources.log import StateLog
 from . import fleet
-from .catalog import RECORDS, _products, _table
+from .catalog import RECORDS, _golden, _products, _table
 from .oracles import _FIELDS, _H, _P, _V, _empty
 
 # ---- pagination: sites of 250 products are 25 pages long
@@ -171,10 +173,7 @@ def _fleet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     pages = pages.select((F.col("site") * 16 + number).alias("scraper_id"), "site", F.concat("url", F.lit("?site="), F.col("site").cast("string")).alias("url"), html.alias("html"))
     scrapers = pages.select("scraper_id", F.lit(1).alias("current_version"), (F.col("site") % 3 + 1).cast("int").alias("max_version"), F.lit(default_strategy().to_json()).alias("strategy"), F.lit(10).alias("expected"))
     other = F.col("site") % 5 == 3
-    golden = products.where("pos < 10").withColumns({"price": F.when(other, F.col("price") + 900_000.5).otherwise(F.col("price")), "availability": F.when(other, "Elsewhere").otherwise(F.col("availability"))})
-    # page 1 of site 0 begins with its first product, whatever its number
-    first = golden.groupBy("site").agg(F.min("pos").alias("_first"))
-    golden = golden.join(first, "site").withColumn("pos", (F.col("pos") - F.col("_first")).cast("int")).drop("_first")
+    golden = _golden(spark, sf_dir).withColumns({"price": F.when(other, F.col("price") + 900_000.5).otherwise(F.col("price")), "availability": F.when(other, "Elsewhere").otherwise(F.col("availability"))})
     return pages.drop("site"), scrapers, golden.join(pages.select("site", "scraper_id"), "site").drop("site")
 
 
@@ -194,6 +193,32 @@ SELECT scraper_id, 1 AS old_version, CASE WHEN lost <= 0 AND pre >= 0.9 THEN 1 W
  CAST(CASE WHEN pre >= 0.9 THEN 10000 WHEN lost <= 0 THEN 0 WHEN NOT other THEN 9250 WHEN lost = 6 THEN 8750 ELSE 7750 END AS BIGINT) AS confidence,
  CAST(round(pre * 10000) AS BIGINT) AS pre_health, CAST(round(CASE WHEN pre >= 0.9 THEN pre WHEN lost > 0 THEN post END * 10000) AS BIGINT) AS post_health FROM y"""
 
+# ---- repair from history
+
+
+def historical_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites that went back to an element that no vocabulary has, but their first version did; prices of every other product were seen before."""
+    products = _products(spark, sf_dir)
+    pages = layout_pages(products, ["site"], ["v9_combined"]).where("page_no = 1")
+    html = F.regexp_replace("html", r'<span class="cost current">([^<]*)</span>', r'<em class="zz9">$1</em>')
+    sick = pages.select(F.col("site").alias("scraper_id"), "url", html.alias("html"), F.array(F.lit("price")).alias("broken_fields"), F.lit(default_strategy().to_json()).alias("strategy"))
+    own = default_strategy()
+    first = Strategy("first", own.record_selector, dict(own.fields) | {"price": Selector("css", "em.zz9", None, "price")})
+    late = Strategy("late", own.record_selector, dict(own.fields) | {"price": Selector("css", "em", None, "price")})
+    texts = F.explode(F.array(*[F.struct(F.lit(n).alias("version"), F.lit(n * 10).alias("seq"), F.lit(s.to_json()).alias("strategy")) for n, s in ((1, first), (2, own), (3, late))]))
+    versions = sick.select("scraper_id", texts.alias("v")).select("scraper_id", "v.*")
+    # the run came before the third version
+    past = former_selectors(versions, sick.select("scraper_id", F.lit(25).alias("seq")))
+    values = former_values(products.where("pos % 2 = 0").withColumnRenamed("site", "scraper_id"))
+    golden = _golden(spark, sf_dir).withColumnRenamed("site", "scraper_id")
+    found = repair(sick, ["scraper_id"], golden=golden, historical=past, historical_values=values, site=["scraper_id"])[0]
+    return found.select("scraper_id", "field", "value", "source", "similarity", "historical_consistency", "total", "action", F.col("generated").cast("bigint").alias("generated"))
+
+
+_SQL_HISTORY = """WITH p AS (SELECT p_partkey // 20 AS scraper_id, avg(CAST(p_partkey % 2 = 0 AS INT)) AS c FROM part WHERE p_partkey >= 0 AND p_partkey % 20 < 10 GROUP BY ALL)
+SELECT scraper_id, 'price' AS field, 'em.zz9' AS value, 'historical' AS source, 1.0::DOUBLE AS similarity, round_even(c, 4) AS historical_consistency, round_even(0.85::DOUBLE + 0.15::DOUBLE * c, 4) AS total,
+ CASE WHEN round_even(0.85::DOUBLE + 0.15::DOUBLE * c, 4) >= 0.9 THEN 'promote' ELSE 'shadow' END AS action, CAST(34 AS BIGINT) AS generated FROM p"""
+
 # ---- state by log and snapshots
 
 
@@ -229,10 +254,10 @@ def rollback_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    paginated_extract, paginated_runs, dom_fingerprints, page_facts, page_select, anchor_values, page_vocabulary, detection_as_of, fleet_decisions, version_numbers, rollback_state,
+    paginated_extract, paginated_runs, dom_fingerprints, page_facts, page_select, anchor_values, page_vocabulary, detection_as_of, fleet_decisions, historical_repairs, version_numbers, rollback_state,
 )}
 
 ORACLES = {
     "paginated_extract": _SQL_PAGES, "paginated_runs": _SQL_RUNS, "dom_fingerprints": _SQL_PRINTS, "page_facts": _SQL_FACTS, "page_select": _SQL_SELECT, "anchor_values": _SQL_ANCHORS,
-    "page_vocabulary": _SQL_WORDS, "detection_as_of": _SQL_AS_OF, "fleet_decisions": _SQL_FLEET,
+    "page_vocabulary": _SQL_WORDS, "detection_as_of": _SQL_AS_OF, "fleet_decisions": _SQL_FLEET, "historical_repairs": _SQL_HISTORY,
 }

@@ -11,29 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import stage
 from ..operators.extract import extract
 from ..operators.health import broken_fields, health
-from ..operators.repair import plans, repair
+from ..operators.repair import plans, repair, with_proposed
 from ..operators.schema import HealthThresholds
 
 ID = "scraper_id"
-SELECTOR = "struct<kind:string,value:string,attr:string,transform:string>"
-STRATEGY = f"name string, record_selector string, fields map<string,{SELECTOR}>, next_page_selector string, notes string"
-
-
-def proposed_json(strategy: Column | str, field_repairs: Column | str) -> Column:
-    """The JSON of a strategy with the promoted and shadow winners of ``field_repairs`` in their places, others behind."""
-    old = F.from_json(strategy, STRATEGY)
-    used = F.filter(field_repairs, lambda r: r["action"].isin("promote", "shadow"))
-    new = F.map_from_entries(F.transform(used, lambda r: F.struct(r["field"], F.struct(r["kind"], r["value"], r["attr"], r["transform"]))))
-    kept = F.transform_values(old["fields"], lambda k, v: F.coalesce(new[k], v))
-    fields = F.map_concat(kept, F.map_filter(new, lambda k, _: ~F.map_contains_key(old["fields"], k)))
-    return F.to_json(F.struct(F.concat(old["name"], F.lit("-repair")).alias("name"), old["record_selector"].alias("record_selector"), fields.alias("fields"), old["next_page_selector"].alias("next_page_selector"), F.lit("repaired").alias("notes")))
-
 
 @dataclass(frozen=True)
 class FleetRun:
@@ -68,7 +55,7 @@ def run_all(pages: DataFrame, scrapers: DataFrame, golden: DataFrame | None = No
     sick = work.join(reports.where("status <> 'healthy' AND size(broken_fields) > 0").select(ID, "broken_fields"), ID)
     repairs = repair(sick, [ID], golden=golden, historical=historical, historical_values=historical_values, site=[ID] if golden is not None else None)[0]
     plan = plans(repairs, [ID]).join(known.select(ID, "strategy"), ID)
-    plan = stage(plan.withColumn("proposed", proposed_json("strategy", "field_repairs")).drop("strategy"))
+    plan = stage(with_proposed(plan, "strategy").drop("strategy"))
 
     again = pages.select(ID, "url", "html").join(plan.select(ID, F.col("proposed").alias("strategy")), ID)
     shadow = health(extract(again, "strategy", [ID]).records, [ID], "expected", runs=runs.join(plan.select(ID), ID, "left_semi"), thresholds=thresholds)

@@ -83,6 +83,36 @@ _GENERATED = {"price": 32, "availability": 19}
 _V3 = {"availability": 16, "currency": 13, "price": 27, "product_name": 24, "rating": 18, "review_count": 16}
 _COUNTS = [(k, f, _V3[f] if k == "v3_dataattr" else _GENERATED[f]) for k, fields in _BROKEN.items() for f in fields]
 
+# Repair with golden records. What a candidate finds on a card follows from the layout: the right value (similarity 1), another one
+# that is plausible or not, or nothing (0.075, the half of the weight of a missing history). Parts of a site's first page:
+# r: ratings above 0, k: product numbers above 0, q: prices whose first digits are a rating (up to 100, or before a comma), g: the
+# same rating, e and f: review counts equal to the number and to the price's integer.
+_SITES = """p AS (SELECT p_partkey // 20 AS site, avg(CAST(p_size % 5 > 0 AS INT)) AS r, avg(CAST(p_partkey > 0 AS INT)) AS k, avg(CAST(p_partkey % 5000 + 1.25 <= 100 OR p_partkey % 5000 + 1.25 >= 1000 AS INT)) AS q,
+ avg(CAST(p_partkey % 5000 + 1.25 >= 1000 AND (p_partkey % 5000 + 1) // 1000 = p_size % 5 AS INT)) AS g,
+ avg(CAST(p_partkey = p_size * 100 AS INT)) AS e, avg(CAST(p_partkey % 5000 + 1 = p_size * 100 AS INT)) AS f FROM part WHERE p_partkey >= 0 AND p_partkey % 20 < 10 GROUP BY ALL)"""
+_RIGHT, _WRONG, _NOTHING = "0.925", "0.775", "0.075"
+_FOUND = [
+    *[("v2_rename_class", "price", n, v, _RIGHT) for n, v in ((29, ".cost"), (30, "span.cost"), (67, "span:nth-of-type(1)"), (69, "div:nth-of-type(1)"))], ("v2_rename_class", "price", 70, "div:nth-of-type(2)", "0.525 + 0.25 * r"),
+    *[("v9_combined", "price", n, v, _RIGHT) for n, v in ((30, "span.cost"), (67, "span:nth-of-type(1)"))], ("v9_combined", "price", 29, ".cost", _WRONG),
+    *[("v9_combined", "price", n, v, "0.525 + 0.25 * k") for n, v in ((69, "div:nth-of-type(1)"), (70, "div:nth-of-type(2)"))],
+    *[("v10_partial", "availability", n, v, _RIGHT) for n, v in ((21, ".stock-status"), (22, "div.stock-status"))],
+    *[(k, "availability", n, v, _WRONG) for k in ("v10_partial", "v3_dataattr") for n, v in ((31, "Stock"), (32, "div:nth-of-type(1)"), (33, "div:nth-of-type(2)"), (34, "span:nth-of-type(1)"), (35, "span:nth-of-type(2)"))],
+    *[("v3_dataattr", f, n, v, _RIGHT) for f, n, v in (
+        ("availability", 0, "[data-testid='availability']"), ("currency", 0, "[data-testid='currency']"), ("currency", 23, "span:nth-of-type(2)"), ("price", 0, "[data-testid='price']"), ("price", 67, "span:nth-of-type(1)"),
+        ("price", 69, "div:nth-of-type(1)"), ("product_name", 3, "[data-testid='title']"), ("product_name", 50, "h3"), ("product_name", 56, "h3:nth-of-type(1)"), ("rating", 0, "[data-testid='rating']"), ("rating", 40, "div:nth-of-type(2)"),
+        ("review_count", 0, "[data-testid='review-count']"),
+    )],
+    ("v3_dataattr", "currency", 22, "span:nth-of-type(1)", "0.525"), ("v3_dataattr", "price", 70, "div:nth-of-type(2)", "0.525 + 0.25 * r"),
+    *[("v3_dataattr", "rating", n, v, "0.075 + 0.7 * q + 0.15 * g") for n, v in ((37, "span:nth-of-type(1)"), (39, "div:nth-of-type(1)"))],
+    ("v3_dataattr", "review_count", 30, "reviews", "0.775 + 0.15 * e"), ("v3_dataattr", "review_count", 35, "div:nth-of-type(2)", _WRONG),
+    *[("v3_dataattr", "review_count", n, v, "0.775 + 0.15 * f") for n, v in ((32, "span:nth-of-type(1)"), (34, "div:nth-of-type(1)"))],
+    *[("v3_dataattr", f, n, v, _NOTHING) for f, own in (
+        ("currency", ((2, "[itemprop='currency']"), (3, "[data-testid='ccy']"))), ("price", ((2, "[itemprop='price']"),)), ("product_name", ((0, "[data-testid='name']"), (2, "[itemprop='name']"))),
+        ("rating", ((2, "[itemprop='rating']"), (3, "[data-testid='stars']"), (5, "[itemprop='stars']"))),
+    ) for n, v in own],
+]
+_CANDIDATES = "c AS (" + " UNION ALL ".join(f"SELECT site, '{k}' AS layout, '{f}' AS field, {n} AS ord, '{v.replace(chr(39), chr(39) * 2)}' AS value, round_even(CAST({t} AS DOUBLE), 4) AS total FROM p" for k, f, n, v, t in _FOUND) + "), x AS (SELECT *, CAST(row_number() OVER (PARTITION BY site, layout, field ORDER BY total DESC, ord) AS INT) AS rank FROM c)"
+
 _D = """d AS (SELECT pos - pos % 20 AS page, pos % 20 * 3 + k AS pos, CASE WHEN pos % 25 <> 0 AND pos % 3 <> 0 THEN product_id END AS product_id, CASE WHEN pos % 25 <> 0 THEN product_name END AS product_name,
  CASE WHEN k <> 0 THEN price END AS price, CASE WHEN k <> 1 THEN currency END AS currency, CASE WHEN k <> 2 THEN rating END AS rating, CASE WHEN k <> 0 THEN review_count END AS review_count, availability,
  CASE WHEN pos % 25 <> 0 AND pos % 6 <> 0 THEN product_url END AS product_url, CASE WHEN k <> 2 THEN image_url END AS image_url FROM r, (SELECT unnest([0, 1, 2]) AS k)),
@@ -141,6 +171,8 @@ ORACLES = {
     "layout_health": f"WITH {_P}, {_L} SELECT site, layout, CASE WHEN {_BROKEN_LIST} <> '' THEN CASE WHEN 0.3 * (1 - CASE WHEN layout = 'v3_dataattr' THEN 6 ELSE 1 END / 8.0) + 0.2 + 0.2 * count(*) / 20 >= 0.7 THEN 'warning' ELSE 'repair_required' END WHEN 0.8::DOUBLE + 0.2::DOUBLE * count(*) / 20 >= 0.9 THEN 'healthy' ELSE 'warning' END AS status, {_BROKEN_LIST} AS broken FROM p, l GROUP BY site, layout",
     "layout_accuracy": f"WITH {_P}, {_L} SELECT layout, CAST(count(*) * CASE layout WHEN 'v3_dataattr' THEN 2 " + " ".join(f"WHEN '{k}' THEN 7" for k in _BROKEN if k != "v3_dataattr") + " ELSE 8 END AS BIGINT) AS \"right\", count(*) * 8 AS cells FROM p, l GROUP BY layout",
     "candidate_counts": f"WITH {_P}, c(layout, field, generated) AS (VALUES {', '.join(f'({k!r}, {f!r}, {n})' for k, f, n in _COUNTS)}) SELECT DISTINCT site, layout, field, CAST(generated AS BIGINT) AS generated, CAST(5 AS BIGINT) AS kept FROM p, c WHERE site IN (SELECT (p_partkey // 20) FROM part WHERE p_partkey % 20 < 10)",
+    "top_candidates": f"WITH {_SITES}, {_CANDIDATES} SELECT site, layout, field, rank, value, total FROM x WHERE rank <= 5",
+    "repair_winners": f"WITH {_SITES}, {_CANDIDATES} SELECT site, layout, field, 'css' AS kind, value, CASE WHEN value LIKE '[%' THEN 'attr' ELSE 'class-synonym' END AS source, total, 'promote' AS action FROM x WHERE rank = 1",
     "scraper_state": "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "latest_runs": "SELECT user_id AS scraper, event_id AS id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "repair_history": "SELECT user_id AS scraper, event_id AS id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",

@@ -1,4 +1,4 @@
-"""Page files as a stream: every micro-batch runs the batch plan, and the last good run is the state."""
+"""Page files as a stream: every micro-batch runs the batch plan. ``baseline`` has the stream that keeps state."""
 
 from __future__ import annotations
 

@@ -108,14 +108,14 @@ def test_configuration_errors(spark):
     assert Strategy.from_json(default_strategy().to_json()) == default_strategy()
 
 
-QUICK = ["price_parse", "rating_parse", "int_parse", "url_canonical", "url_dup_groups", "tracking_param_stats", "rule_violations", "violations_by_code", "health_status", "failure_signals", "dedupe_fold", "dedupe_report", "newly_broken", "layout_health", "scraper_state", "rollback_state", "golden_accuracy"]
+QUICK = ["price_parse", "rating_parse", "int_parse", "url_canonical", "url_dup_groups", "tracking_param_stats", "rule_violations", "violations_by_code", "health_status", "failure_signals", "dedupe_fold", "dedupe_report", "newly_broken", "layout_health", "scraper_state", "rollback_state", "golden_accuracy", "page_facts", "page_select", "dom_fingerprints", "page_vocabulary", "anchor_values", "paginated_runs", "detection_as_of", "repair_winners"]
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_queries_match_sql(spark, name):
-    from mendwork.plans.catalog import QUERIES
-    from mendwork.plans.oracles import ORACLES
+    import __spark_entry__ as entry
 
+    QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in ("part", "events", "pages", "labels"):

@@ -10,7 +10,7 @@ from mendwork.operators import dom, nodes
 from mendwork.operators.detect import baseline_as_of, detect, detect_as_of
 from mendwork.operators.extract import extract, facts
 from mendwork.operators.paginate import MAX_PAGES, extract_all, follow
-from mendwork.operators.repair import proposed
+from mendwork.operators.repair import proposed, proposed_json
 from mendwork.operators.schema import FIELDS, Selector, Strategy, default_strategy
 from mendwork.plans import fleet
 from mendwork.sources.log import EVENT, ConcurrentWrite, StateLog
@@ -140,7 +140,7 @@ def test_baseline_is_the_last_good_run_before(spark, span):
 def test_proposed_strategies(spark):
     repairs = [("price", "css", ".cost", None, "price", "promote"), ("rating", "css", "b", "x", "rating", "shadow"), ("currency", None, None, None, None, "reject"), ("extra", "static", "1", None, "text", "promote")]
     schema = "array<struct<field:string,kind:string,value:string,attr:string,transform:string,action:string>>"
-    row = spark.createDataFrame([(default_strategy().to_json(), repairs)], f"s string, r {schema}").select(fleet.proposed_json("s", "r").alias("p"), "r").first()
+    row = spark.createDataFrame([(default_strategy().to_json(), repairs)], f"s string, r {schema}").select(proposed_json("s", "r").alias("p"), "r").first()
     want = proposed(default_strategy(), [r.asDict() for r in row.r])
     assert Strategy.from_json(row.p) == want and list(json.loads(row.p)["fields"]) == list(want.fields)
 
