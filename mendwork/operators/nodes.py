@@ -25,7 +25,9 @@ import re
 from functools import reduce
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,8 @@ NODE = T.StructType([
     T.StructField("text_from", T.IntegerType()), T.StructField("text_to", T.IntegerType()), T.StructField("texts", T.ArrayType(T.StringType())),
 ])
 _NAMES = NODE.names
+#: nodes that leave a task together; a larger page leaves alone
+ROWS = 1 << 14
 
 
 class _Events(HTMLParser):
@@ -112,15 +116,30 @@ def nodes(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     schema = T.StructType([*[pages.schema[k] for k in keys], *NODE])
     arrow = to_arrow_schema(schema)
 
+    def made(rows: list[list], name: str, n: int) -> pa.Array:
+        kind = arrow.field(name).type
+        if name != "attrs":
+            return pa.array([r[n] for r in rows], kind)
+        held = [r[n] or {} for r in rows]
+        ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+        absent = pa.array([r[n] is None for r in rows])
+        names, values = [k for d in held for k in d], [v for d in held for v in d.values()]
+        return pc.if_else(absent, pa.nulls(len(rows), kind), pa.MapArray.from_arrays(pa.array(ends), pa.array(names, pa.string()), pa.array(values, pa.string())).cast(kind))
+
     def run(batches):
         for batch in batches:
-            for at, page in enumerate(batch.column("_html").to_pylist()):
+            rows, at = [], []
+            pages_ = batch.column("_html")
+            for n in range(len(pages_)):
                 events = _Events()
-                events.feed(page or "")
-                rows = events.finish()
-                own = [batch.column(k).take(pa.array([at] * len(rows), pa.int32())) for k in keys]
-                made = [pa.array([list(r[n].items()) if isinstance(r[n], dict) else r[n] for r in rows], arrow.field(name).type) for n, name in enumerate(_NAMES)]
-                yield pa.RecordBatch.from_arrays([*own, *made], names=arrow.names)
+                events.feed(pages_[n].as_py() or "")
+                own = events.finish()
+                rows += own
+                at += [n] * len(own)
+                if len(rows) >= ROWS or n + 1 == len(pages_):
+                    held = [batch.column(k).take(pa.array(at, pa.int32())) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*held, *(made(rows, name, k) for k, name in enumerate(_NAMES))], names=arrow.names)
+                    rows, at = [], []
 
     return pages.select(*keys, F.col(html).alias("_html")).mapInArrow(run, schema)
 
@@ -232,10 +251,14 @@ def raw_values(table: DataFrame, keys: list[str], strategy: Strategy) -> DataFra
     after = Window.partitionBy(*keys).orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
     found = lambda f, s: F.struct("node", "text_from", "text_to", "parent", (F.col("attrs")[s.attr] if s.attr else F.lit(None).cast("string")).alias("attr"))
     following = {f"_at_{f}": F.last(F.when(F.col(f"_is_{f}"), found(f, s)), ignorenulls=True).over(after) for f, s in {**css, **anchors}.items()}
-    roots = rows.withColumns(following).where("_root")
+    selves = {f: s for f, s in strategy.fields.items() if s.kind == "attr-on-self"}
+    rows = rows.withColumns({**following, **{f"_self_{f}": F.col("attrs")[s.attr or s.value] for f, s in selves.items()}})
+    # a page's roots and its texts are in one partition already, so they meet without another reading or shuffle
+    held = F.struct("node", "last", *[f"_at_{f}" for f in (*css, *anchors)], *[f"_self_{f}" for f in selves])
+    met = rows.where(F.col("_root") | (F.col("node") == 0)).groupBy(*keys).agg(F.first(F.when(F.col("node") == 0, F.col("texts")), ignorenulls=True).alias("texts"), F.array_sort(F.collect_list(F.when(F.col("_root"), held))).alias("_roots"))
+    roots = met.select(*keys, "texts", F.posexplode("_roots").alias("pos", "_r")).select(*keys, "texts", "pos", "_r.*")
     inside = lambda f: F.when(F.col(f"_at_{f}.node") <= F.col("last"), F.col(f"_at_{f}"))
-    roots = roots.withColumns({f"_at_{f}": inside(f) for f in (*css, *anchors)}).drop("texts")
-    roots = roots.join(documents(table, keys), keys)
+    roots = roots.withColumns({f"_at_{f}": inside(f) for f in (*css, *anchors)})
     for f in anchors:
         roots = roots.join(_around(table, keys, roots, f"_at_{f}", anchors[f].value, f"_text_{f}"), [*keys, "node"], "left")
 
@@ -245,13 +268,12 @@ def raw_values(table: DataFrame, keys: list[str], strategy: Strategy) -> DataFra
             there = F.col(f"_at_{f}").isNotNull()
             return F.when(there, F.col(f"_at_{f}.attr") if s.attr else text_of(f"_at_{f}.text_from", f"_at_{f}.text_to"))
         if s.kind == "attr-on-self":
-            return F.col("attrs")[s.attr or s.value]
+            return F.col(f"_self_{f}")
         if s.kind == "text-anchor":
             return F.col(f"_text_{f}")
         return F.lit(s.value if s.kind == "static" else None).cast("string")
 
-    place = Window.partitionBy(*keys).orderBy("node")
-    return roots.select(*keys, (F.row_number().over(place) - 1).alias("pos"), *[value(f).alias(f) for f in strategy.fields])
+    return roots.select(*keys, "pos", *[value(f).alias(f) for f in strategy.fields])
 
 
 def _around(table: DataFrame, keys: list[str], roots: DataFrame, at: str, label: str, name: str) -> DataFrame:
