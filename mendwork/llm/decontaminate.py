@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, with_columns
+from .common import byte_texts, cut_lineage, with_columns
 
 #: windows of ten words in one block: some 150 MB of Python objects in a task, at most
 BLOCK_PATTERNS = 200_000
@@ -134,9 +134,17 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     is one window. Null texts have no words and no hits, as have wordless
     items; repeated items count once; ids are compared as strings and null ids
     are left out. Input columns named like the new ones are replaced.
+
+    A benchmark of more than ``block_patterns`` windows is searched block by
+    block, each in a stage of its own over the documents, which are written to
+    the shared folder in between.
     """
-    out = docs
+    out, held = docs, None
     for number, block in enumerate(_blocks(benchmark, item_id, item_text, width, block_patterns)):
+        if held is not None:
+            # a stage for each block: a task holds the table of one
+            out = cut_lineage(out)
+            held.unpersist()
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(held=held, first=number == 0):

@@ -9,7 +9,8 @@ extra.
 
 Scale: records are hashed where they are and only hashes move. A group is one
 range: its size is bounded by ``range_bytes`` at the lowest level and by
-``fan`` above, whatever a file holds. The levels below a differing range are
+``fan`` above; the root alone has a child for every range_bytes *
+fan^(height - 1) bytes of its file (16 MiB by default). The levels below a differing range are
 reached by semi joins, so an intact archive costs one comparison of roots.
 """
 
