@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stage import stage
 from .detect import accuracy, detect
 from .extract import extract
 from .health import broken_fields, health
@@ -31,7 +32,7 @@ def rows_of(pages: DataFrame, strategy: Strategy | str, golden: DataFrame, expec
 
 
 def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy | None = None, site: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, summary by system, field repairs).
+    """(rows, summary by system, plans of repair).
 
     ``pages`` has the layout, page_no, url and html of one site, or of many
     with the ``site`` columns, which ``golden`` then has too. The first page of
@@ -42,13 +43,15 @@ def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy |
     strategy, site = strategy or default_strategy(), site or []
     groups = [*site, "layout"]
     plain, report = rows_of(pages, strategy, golden, expected, groups, site)
-    plain, report = plain.cache(), report.cache()
-    sick = report.where("status != 'healthy'").select(*groups, broken_fields().alias("broken_fields"))
+    # written stages keep the plans of what follows small
+    report = stage(report.withColumn("broken_fields", broken_fields()))
+    plain = stage(plain)
+    sick = report.where("status != 'healthy'").select(*groups, "broken_fields")
     first = pages.where("page_no = 1").join(sick, groups).withColumn("strategy", F.lit(strategy.to_json()))
     began = time.time()
-    repairs = repair(first, groups, golden=golden, site=site)[0].cache()
-    plan = with_proposed(plans(repairs, groups).withColumn("_old", F.lit(strategy.to_json())), "_old").drop("_old").cache()
-    each = (time.time() - began + _timed(plan)) * 1000 / max(1, plan.count())
+    repairs = repair(first, groups, golden=golden, site=site)[0]
+    plan = stage(with_proposed(plans(repairs, groups).withColumn("_old", F.lit(strategy.to_json())), "_old").drop("_old"))
+    each = (time.time() - began) * 1000 / max(1, plan.count())
     fixed = plan.where("all_promote").select(*groups, F.col("proposed").alias("strategy"))
     healed = rows_of(pages.join(fixed, groups), "strategy", golden, expected, groups, site)[0]
     healed = plain.join(fixed, groups, "left_anti").unionByName(healed)
@@ -57,13 +60,7 @@ def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy |
     before = plain.withColumn("system", F.lit("baseline")).withColumns(none)
     after = healed.join(tried, groups, "left").fillna({"repair_attempted": False, "repair_confidence": 0.0, "mttr_ms": 0.0}).withColumn("system", F.lit("healing"))
     rows = before.unionByName(after)
-    return rows, summary(rows, groups), repairs
-
-
-def _timed(df: DataFrame) -> float:
-    began = time.time()
-    df.count()
-    return time.time() - began
+    return rows, summary(rows, groups), plan
 
 
 def summary(rows: DataFrame, groups: list[str] | None = None, baseline: str = "baseline") -> DataFrame:
