@@ -16,6 +16,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from ..functions.html import feed
+
 # HTML element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CODE = frozenset(("script", "style", "template"))
@@ -100,8 +102,7 @@ class _Builder(HTMLParser):
 def parse(html: str | None) -> Element:
     """The document as a nameless root element."""
     builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
+    feed(builder, html)
     return builder.root
 
 

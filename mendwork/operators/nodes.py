@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.html import feed
 from .dom import CODE, ENDS_P, ENDS_SAME, VOID
 from .schema import Strategy
 
@@ -105,7 +106,6 @@ class _Events(HTMLParser):
             self.rows.append([place, self.open[-1], place, None, None, None, None, at, at + 1, None])
 
     def finish(self) -> list[list]:
-        self.close()
         while self.open:
             self._shut()
         return self.rows
@@ -132,7 +132,7 @@ def nodes(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
             pages_ = batch.column("_html")
             for n in range(len(pages_)):
                 events = _Events()
-                events.feed(pages_[n].as_py() or "")
+                feed(events, pages_[n].as_py())
                 own = events.finish()
                 rows += own
                 at += [n] * len(own)
