@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.html import feed
 from .common import with_columns
 
 # HTML element classes
@@ -31,6 +32,8 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template iframe object svg canvas audio video head title select textarea button".split())
+#: of these the ones whose text counts after all if no end tag ever comes
+_OPENABLE = frozenset("button select video audio canvas object svg noscript".split())
 _BOILERPLATE = frozenset("nav header footer aside form menu dialog search".split())
 _CONTENT = frozenset("article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar alert".split())
@@ -64,16 +67,28 @@ class _Lines(HTMLParser):
         self.named: set[int] = set()  # elements that a tag, class, id or role calls boilerplate
         self.hidden: set[int] = set()
         self.content: dict[int, str] = {}
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.parts: list[str] = []
-        self.tags = self.free = self.silent = self.inside = 0
+        self.pieces: list[tuple[list[tuple[int, str, bool]], int, int]] = []  # of each line: parts, tags before its end, element
+        self.parts: list[tuple[int, str, bool]] = []  # the silent element around, text, whether outside links
+        self.silent: list[int] = []  # open silent elements
+        self.shut: set[int] = set()  # silent elements that have ended
+        self.tags = self.inside = 0
 
     def _flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append((text, self.free, self.tags, self.stack[-1][1] if self.stack else 0))
-            self.tags = 0
-        self.parts, self.free = [], 0
+        if self.parts:
+            self.pieces.append((self.parts, self.tags, self.stack[-1][1] if self.stack else 0))
+            self.parts, self.tags = [], 0
+
+    def lines(self) -> list[tuple[str, int, int, int]]:
+        """(text, characters outside links, tags, element) of all lines; what ended silent elements hold is in none."""
+        out, tags = [], 0
+        for parts, own, node in self.pieces:
+            tags += own
+            seen = [(data, free) for silent, data, free in parts if silent not in self.shut]
+            text = _SPACE.sub(" ", "".join(data for data, _ in seen)).strip()
+            if text:
+                out.append((text, sum(len(data.strip()) for data, free in seen if free), tags, node))
+                tags = 0
+        return out
 
     def _names(self, attrs: list) -> bool:
         for key, value in attrs:
@@ -102,7 +117,7 @@ class _Lines(HTMLParser):
             self._end_head()
         self.tags += 1
         if tag == "br" or tag == "wbr":
-            self.parts.append(" " if tag == "br" else "")
+            self.parts.append((0, " " if tag == "br" else "", False))
             return
         if tag in _BLOCKS:
             self._flush()
@@ -122,7 +137,10 @@ class _Lines(HTMLParser):
         if tag in _CONTENT:
             self.content[node] = tag
             self.inside += 1
-        self.silent += tag in _SILENT
+        if tag in _SILENT:
+            self.silent.append(node)
+            if tag not in _OPENABLE:
+                self.shut.add(node)
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in _BLOCKS:
             self.blocks.append(len(self.stack))
@@ -131,36 +149,37 @@ class _Lines(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
-    def _close(self, tag: str, stops: tuple[str, ...] = (), inline: bool = False) -> None:
-        """Close the innermost open ``tag`` with all it holds, unless a stop element lies between."""
+    def _close(self, tag: str, stops: tuple[str, ...] = (), inline: bool = False, ended: bool = False) -> None:
+        """Close the innermost open ``tag`` with all it holds, unless a stop element lies between; ``ended`` by its end tag."""
         at = self.places.get(tag)
         if not at or any((self.places.get(t) or [-1])[-1] > at[-1] for t in stops) or inline and self.blocks and self.blocks[-1] > at[-1]:
             return
         to = at[-1]
+        if ended and tag in _SILENT:
+            self.shut.add(self.stack[to][1])
         while len(self.stack) > to:
             t, _ = self.stack.pop()
             self.places[t].pop()
             if t in _BLOCKS:
                 self.blocks.pop()
             self.inside -= t in _CONTENT
-            self.silent -= t in _SILENT
+            if t in _SILENT:
+                self.silent.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in _BLOCKS:
             self._flush()
-            self._close(tag)
-        else:  # an inline end tag doesn't reach out of its block
-            self._close(tag, inline=True)
+            self._close(tag, ended=True)
+        else:  # an inline end tag doesn't reach out of its block, but one of a silent element does
+            self._close(tag, inline=tag not in _SILENT, ended=True)
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] == "head" and data.strip():
             self._end_head()
-        if self.silent:
-            return
-        self.parts.append(data)
-        if not self.places.get("a"):
-            self.free += len(data.strip())
+        hidden = next((n for n in self.silent if n in self.shut), 0)
+        if not hidden:
+            self.parts.append((self.silent[0] if self.silent else 0, data, not self.places.get("a")))
 
 
 def _smoothed(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -225,12 +244,11 @@ def content_lines(html: str | None) -> list[str]:
     if not html:
         return []
     parser = _Lines()
-    parser.feed(html)
-    parser.close()
+    feed(parser, html)
     parser._flush()
     parent = parser.parent
     unseen = _within(parent, parser.hidden)
-    lines = [line for line in parser.lines if not unseen[line[3]]]
+    lines = [line for line in parser.lines() if not unseen[line[3]]]
     if not lines:
         return []
     free, tags, node = (np.array([line[k] for line in lines]) for k in (1, 2, 3))
@@ -247,11 +265,15 @@ def content_lines(html: str | None) -> list[str]:
     depth = [-1] * n
     for k in range(1, n):
         depth[k] = depth[parent[k]] + 1
-    # the outermost article or main with most of the content; else the smallest element around most of it
+    # the outermost article or main with most of the content, and its fellows; else the smallest element around most of it
     marked = [k for k in parser.content if some[k] and 2 * size[k] > total]
     around = [k for k in range(1, n) if holds[k] and 10 * size[k] >= 9 * total]
     if marked:
-        regions = {max(marked, key=lambda k: (parser.content[k] == "article", -depth[k]))}
+        best = max(marked, key=lambda k: (parser.content[k] == "article", -depth[k]))
+        # a page of several articles: all whose text is mostly outside links
+        chars = _below(parent, np.bincount(node[usable], [len(lines[i][0]) for i in usable], n))
+        loose = _below(parent, np.bincount(node[usable], free[usable], n))
+        regions = {best} | ({k for k, tag in parser.content.items() if tag == "article" and loose[k] and 2 * loose[k] >= chars[k]} if parser.content[best] == "article" else set())
     elif around:
         region = max(around, key=lambda k: depth[k])
         # a region that is a single block, as a paragraph, takes in its neighbours

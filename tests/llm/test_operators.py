@@ -233,3 +233,32 @@ def test_wrappers_and_open_heads_do_not_empty_pages():
 def test_bare_words_of_any_script():
     stats = lambda t: dict(zip(NAMES, text_stats(t.encode())))
     assert stats("слово, ещё одно слово.")["n_bare_words"] == 4 and stats("ab# 12 naïve été")["n_bare_words"] == 2
+
+
+LONG_LINE = "This is a long enough sentence about things, with many words in it to count as text."
+
+
+def test_all_articles_of_a_page_are_kept():
+    for page in ("<main><article>{0} One</article><article>{0} {0} Two</article></main>", "<article>{0} {0} {0} One</article><article>{0} Two</article>", "<div><article>{0} One</article><article>{0} Two</article></div>"):
+        lines = main_text.content_lines(f"<body><nav><a href=x>menu</a></nav>{page.format(LONG_LINE)}<footer>end</footer></body>")
+        assert [x.split()[-1] for x in lines] == ["One", "Two"], page
+    teaser = f"<body><article><p>{LONG_LINE}</p><p>{LONG_LINE} {LONG_LINE}</p></article><article><a href=1>{LONG_LINE}</a></article></body>"
+    assert len(main_text.content_lines(teaser)) == 2
+
+
+def test_silent_elements_that_never_end_swallow_nothing():
+    for tag in ("button", "video src=x", "select", "canvas"):
+        text = "\n".join(main_text.content_lines(f"<body><article><p>{LONG_LINE} <{tag}>go<p>{LONG_LINE} after</p><p>{LONG_LINE} last</p></article></body>"))
+        assert "after" in text and "last" in text, tag
+    ended = main_text.content_lines(f"<body><article><p>{LONG_LINE}</p><video><p>no video here</p></video><p>{LONG_LINE} {LONG_LINE}</p><button>x</button><script>var a</script></article></body>")
+    assert ended == [LONG_LINE, f"{LONG_LINE} {LONG_LINE}"]
+    assert "var" not in "".join(main_text.content_lines(f"<body><p>{LONG_LINE}</p><p>{LONG_LINE}</p><script>var x"))
+
+
+@pytest.mark.parametrize("piece", ["<a href='", "<a href='x' b=\"", "<p class=\"", "</a href='", "<div><span "])
+def test_open_quotes_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    lines = main_text.content_lines(f"<body><p>{LONG_LINE}</p><p>{LONG_LINE}</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 4 and lines[:1] == [LONG_LINE]
