@@ -158,6 +158,13 @@ SELECT brand, CAST(turn AS BIGINT) AS turn, crit + warn > 0 AS detected, CASE WH
  {_list(lambda f: f'{f} >= 0.5')} AS fields_broken_now, {_list(lambda f: f'b_{f} >= 0.5')} AS fields_broken_baseline, {_list(lambda f: f'{f} >= 0.5 AND coalesce(b_{f}, 0) < 0.5')} AS newly_broken_fields, {_list(lambda f: f'b_{f} >= 0.5 AND {f} < 0.5')} AS recovered_fields,
  {', '.join(f'CAST(round(d_{f} * 10000) AS BIGINT) AS delta_{f}' for f in _FIELDS)} FROM x"""
 
+#: records of two halves of each brand, of which the second lost the prices of some brands, as ``detect_severity`` makes them
+_HALVES = f"""SELECT run AS brand, turn, run || '/' || CAST(turn AS STRING) AS run, pos, product_id, product_name, CASE WHEN NOT cut THEN price END AS price, currency, rating, review_count, availability, product_url, image_url, loose_price AND NOT cut AS loose_price
+ FROM (SELECT *, pos % 2 AS turn, pos % 2 = 1 AND run LIKE '%3' AS cut FROM ({RECORDS.format(part='part')}))"""
+_LAST_GOOD = "last_value(CASE WHEN status = 'healthy' THEN turn END IGNORE NULLS) OVER (PARTITION BY brand ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_FIRST_HALF = "CASE WHEN turn = 1 THEN max(CASE WHEN turn = 0 THEN 0 END) OVER (PARTITION BY brand) END"
+_SQL_SEVERITY = "SELECT brand AS run, severity, detected FROM (" + _SQL_AS_OF.replace(TURNS.format(part="part"), _HALVES).replace(_LAST_GOOD, _FIRST_HALF) + ") WHERE turn = 1"
+
 # ---- all scrapers at once
 
 #: layouts of the fleet, the last one without a record root
@@ -259,5 +266,5 @@ QUERIES = {q.__name__: q for q in (
 
 ORACLES = {
     "paginated_extract": _SQL_PAGES, "paginated_runs": _SQL_RUNS, "dom_fingerprints": _SQL_PRINTS, "page_facts": _SQL_FACTS, "page_select": _SQL_SELECT, "anchor_values": _SQL_ANCHORS,
-    "page_vocabulary": _SQL_WORDS, "detection_as_of": _SQL_AS_OF, "fleet_decisions": _SQL_FLEET, "historical_repairs": _SQL_HISTORY,
+    "page_vocabulary": _SQL_WORDS, "detection_as_of": _SQL_AS_OF, "detect_severity": _SQL_SEVERITY, "fleet_decisions": _SQL_FLEET, "historical_repairs": _SQL_HISTORY,
 }
