@@ -139,6 +139,9 @@ def detection_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _H1 = _H.replace("greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(count(*) - 100)::DOUBLE / 100)", "1.0::DOUBLE")
+# completeness as a quotient of counts, as it is defined; the difference from 1 is another double now and then
+_GAPS = " + ".join(map(_empty, _FIELDS))
+_H1 = _H1.replace(f"1.0::DOUBLE - sum({_GAPS})::DOUBLE / (count(*) * 8) AS c", f"(count(*) * 8 - sum({_GAPS}))::DOUBLE / (count(*) * 8) AS c")
 _SORTED = sorted(_FIELDS)
 _list = lambda test: "concat_ws(',', " + ", ".join(f"CASE WHEN {test(f)} THEN '{f}' END" for f in _SORTED) + ")"
 _SQL_AS_OF = f"""WITH r AS ({TURNS.format(part='part')}), {_V}, {_H1},
@@ -146,7 +149,8 @@ g AS (SELECT r.brand, r.turn, any_value(h.n) AS n, any_value(round_even(0.30::DO
  {', '.join(f"round_even(avg({_empty(f)}), 4) AS {f}" for f in _FIELDS)}, sum(CAST(loose_price AS INT)) AS drift, CAST(count(*) >= 2 AND count(price) >= 3 AND min(price) = max(price) AS INT)
  + CAST(count(*) >= 2 AND count(nullif(product_url, '')) >= 3 AND min(nullif(product_url, '')) = max(nullif(product_url, '')) AS INT) + CAST(count(*) >= 2 AND count(nullif(product_name, '')) >= 3 AND min(nullif(product_name, '')) = max(nullif(product_name, '')) AS INT) AS same
  FROM r JOIN h ON h.run = r.run GROUP BY r.brand, r.turn),
-s AS (SELECT *, CASE WHEN raw >= 0.9 THEN 'healthy' WHEN raw >= 0.7 THEN 'warning' ELSE 'repair_required' END AS status FROM g),
+t AS (SELECT *, CAST(CAST(raw AS VARCHAR) AS DECIMAL(38, 20)) * 10000 AS x4 FROM g), -- ties are those of the decimal text
+s AS (SELECT * EXCLUDE (score, x4), (floor(x4) + CASE WHEN x4 - floor(x4) > 0.5 OR x4 - floor(x4) = 0.5 AND floor(x4) % 2 = 1 THEN 1 ELSE 0 END)::DOUBLE / 10000 AS score, CASE WHEN raw >= 0.9 THEN 'healthy' WHEN raw >= 0.7 THEN 'warning' ELSE 'repair_required' END AS status FROM t),
 o AS (SELECT *, last_value(CASE WHEN status = 'healthy' THEN turn END IGNORE NULLS) OVER (PARTITION BY brand ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bt FROM s),
 d AS (SELECT o.*, b.score AS b_score, b.n AS b_n, {', '.join(f'b.{f} AS b_{f}, round_even(o.{f} - coalesce(b.{f}, 0), 4) AS d_{f}' for f in _FIELDS)}, CASE WHEN b.turn IS NULL THEN 0 ELSE o.score - b.score END AS delta FROM o LEFT JOIN s b ON b.brand = o.brand AND b.turn = o.bt),
 x AS (SELECT *, CAST(status = 'repair_required' AS INT) + CAST(bt IS NOT NULL AND -delta >= 0.20 AS INT) + CAST(bt IS NOT NULL AND greatest({', '.join(f'd_{f}' for f in _FIELDS)}) >= 0.40 AS INT) AS crit,
