@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +41,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver find the shuffles that no frame needs any more, whose files are deleted then.
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished execution deletes its shuffle files at once; else they stay until the driver collects garbage.
 
-    Spark does so whenever the driver collects garbage, which may be late.
+    What is computed from a frame later on recomputes what it needs, so frames
+    used twice belong in ``cut_lineage``. The session's setting is put back.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames made by ``cut_lineage`` that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(id_col: str, divisor: int):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut_lineage, free_shuffles
+from .common import byte_texts, cut_lineage, drop, tidy
 from .components import connected_components
 from .simhash import ball, shingle_hashes
 
@@ -264,8 +264,8 @@ def _ends(new: np.ndarray) -> np.ndarray:
     return np.repeat(np.append(first[1:], len(new)), np.diff(np.append(first, len(new))))
 
 
-def _texts_of(members: DataFrame, distinct: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(set, text): one row with each of the sets ``members``.
+def _texts_of(members: DataFrame, distinct: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set, text): one row with each of the sets ``members``; and the written keys that it reads.
 
     A bitmap of the text keys asked for, 16 bits a key and ``FILTER_BITS`` at
     most, leaves nearly all other texts out of the shuffle. Beyond 33 million
@@ -278,7 +278,7 @@ def _texts_of(members: DataFrame, distinct: DataFrame, keyed: DataFrame) -> Data
     place = F.bitmap_bit_position("at").cast("int")
     byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
     possible = keyed.select("*", at("text_key")).join(F.broadcast(wanted), F.bitmap_bucket_number("at") == F.col("bucket")).where(F.getbit(byte, place % 8) == 1)
-    return possible.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text")
+    return possible.join(chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))).select("set", "text"), chosen
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -290,7 +290,6 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: in
         both = both.join(prints.select(F.col("set").alias(side), *(F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS))), side)
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     close = cut_lineage(both.where(differ <= cut(WORDS, similarity)).select("a", "b"))
-    free_shuffles(close.sparkSession)
 
     def grams_of(batches):
         for batch in batches:
@@ -298,7 +297,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: in
 
     # texts of candidates only: one row of each of their sets
     members = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).distinct()
-    grams = cut_lineage(_texts_of(members, distinct, keyed).mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"]))
+    texts, chosen = _texts_of(members, distinct, keyed)
+    grams = cut_lineage(texts.mapInArrow(grams_of, "set long, grams binary").dropDuplicates(["set"]))
+    drop(chosen)
 
     def verify(batches):
         for batch in batches:
@@ -310,7 +311,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, width: in
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     found = close.join(grams.select(F.col("set").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("set").alias("b"), F.col("grams").alias("y")), "b")
-    return cut_lineage(found.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    links = cut_lineage(found.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    drop(close, grams)
+    return links
 
 
 def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -333,19 +336,19 @@ def links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[Dat
     shared = _in_buckets(distinct.withColumn("mark", F.lit(0).cast("long")), tables, 0, _popular, "set long, n long").groupBy("set").agg(F.sum("n").alias("n"))
     marked = distinct.select("set", "bits").join(shared, "set", "left").select("set", "bits", F.coalesce("n", F.lit(0)).alias("mark"))
     met = cut_lineage(_in_buckets(marked, tables, 1, _with_centre(tables), "a long, b long"))
-    free_shuffles(docs.sparkSession)
     crowd = cut_lineage(met.where("b IS NULL").select(F.col("a").alias("crowded")).distinct())
     # of the central sets that a set meets, the one that it meets in most tables
     often = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
     first = _verified(often.select("a", F.col("best.b").alias("b")), distinct, keyed, width, similarity)
     roots = cut_lineage(connected_components(first))
-    free_shuffles(docs.sparkSession)
+    drop(met, first)
     component = F.coalesce("root", "set").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("crowded").isNotNull().cast("long"))
     marked = distinct.select("set", "bits").join(roots, F.col("set") == F.col("node"), "left").join(crowd, F.col("set") == F.col("crowded"), "left").select("set", "bits", component.alias("mark"))
     pairs = _in_buckets(marked, tables, 1, _across(tables), "a long, b long")
     if not crowd.isEmpty():
         pairs = pairs.unionByName(_in_buckets(marked.where("mark % 2 != 0"), tables, 1, _across(tables, cut(WORDS, similarity)), "a long, b long", whole=True))
     second = _verified(pairs, distinct, keyed, width, similarity)
+    drop(crowd)
     if not second.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = connected_components(stars.unionByName(second))
@@ -366,9 +369,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     counts for itself, and rows without an id are like all others. Null and
     wordless texts are one group; no rows give no rows.
     """
-    sets, roots = links(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width, similarity)
+    with tidy(docs.sparkSession):
+        sets, roots = links(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), width, similarity)
     rooted = sets.groupBy("set").agg(F.min(_first()).alias("first")).join(roots, F.col("set") == F.col("node"), "left")
-    kept = rooted.groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
-    once = keyed.join(kept, (F.col("_text_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return once.dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    kept = rooted.groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("first").alias("first"))
+    # the same three columns serve the join and the repeated rows: whole texts are dealt and sorted once
+    keys = {"_text_key": F.xxhash64(F.col(text)), "_row_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_no_id": F.col(id_col).isNull()}
+    of = F.col("first.id")
+    kept = kept.select(F.col("first.text_key").alias("_text_key"), F.coalesce(of.cast("string"), F.lit("")).alias("_row_id"), of.isNull().alias("_no_id"))
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
