@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_of, layout_and_page
@@ -86,15 +86,19 @@ class PageStore:
 class ProxySource:
     """GET through an authenticated proxy, inside the tasks.
 
-    Requests of one task keep ``delay`` seconds apart and rotate over the user
-    agents. Errors raise. Needs a proxy address and a network.
+    A host's addresses are one task's, and its requests start ``delay`` seconds
+    apart at least, whatever the number of tasks; a task with several hosts
+    takes turns, so that it waits for none while another is free. User agents
+    rotate. Errors raise. Certificates are checked only with ``verify``: a
+    proxy that looks into the traffic has its own. A task that is repeated
+    starts anew with the delay.
     """
 
     # A pool of browser identifications
     agents = tuple(f"Mozilla/5.0 ({system}) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/{v}.0 Safari/537.36" for system in ("Windows NT 10.0; Win64; x64", "X11; Linux x86_64") for v in (124, 125))
 
-    def __init__(self, proxy: str, delay: float = 0.5, timeout: float = 30.0) -> None:
-        self.proxy, self.delay, self.timeout = proxy, delay, timeout
+    def __init__(self, proxy: str, delay: float = 0.5, timeout: float = 30.0, verify: bool = False) -> None:
+        self.proxy, self.delay, self.timeout, self.verify = proxy, delay, timeout, verify
 
     def available(self) -> bool:
         return bool(self.proxy)
@@ -102,7 +106,7 @@ class ProxySource:
     def fetch(self, urls: DataFrame) -> DataFrame:
         if not self.available():
             raise ProviderUnavailable("no proxy is configured")
-        proxy, delay, timeout, agents = self.proxy, self.delay, self.timeout, list(self.agents)
+        proxy, delay, timeout, verify, agents = self.proxy, self.delay, self.timeout, self.verify, list(self.agents)
 
         def get(batches):
             import ssl
@@ -111,21 +115,23 @@ class ProxySource:
             import pandas as pd
 
             context = ssl.create_default_context()
-            context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
+            if not verify:
+                context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
             opener = urllib.request.build_opener(urllib.request.ProxyHandler({"http": proxy, "https": proxy}), urllib.request.HTTPSHandler(context=context))
             random.shuffle(agents)
-            last, n = 0.0, 0
+            last, n = {}, 0
             for pdf in batches:
                 rows = []
-                for url in pdf["url"]:
-                    time.sleep(max(0.0, last + delay - time.time()))
-                    last = time.time()
+                for url, host in zip(pdf["url"], pdf["host"]):
+                    time.sleep(max(0.0, last.get(host, 0.0) + delay - time.time()))
+                    last[host] = time.time()
                     with opener.open(urllib.request.Request(url, headers={"User-Agent": agents[n % len(agents)]}), timeout=timeout) as answer:
-                        rows.append((url, answer.read().decode("utf-8", "replace"), answer.status, "proxy", {"final_url": answer.url}, last))
+                        rows.append((url, answer.read().decode("utf-8", "replace"), answer.status, "proxy", {"final_url": answer.url}, last[host]))
                     n += 1
                 yield pd.DataFrame(rows, columns=["url", "html", "status_code", "provider", "provider_meta", "fetched_at"])
 
-        return urls.select("url").mapInPandas(get, SNAPSHOT)
+        turns = urls.select("url", F.coalesce(host_of("url"), F.lit("")).alias("host")).withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy("url")))
+        return turns.sortWithinPartitions("turn", "host").select("url", "host").mapInPandas(get, SNAPSHOT)
 
 
 def make_source(settings: Settings, pages: DataFrame, layout: str = "v1_healthy") -> Source:
