@@ -19,12 +19,15 @@ from ..operators.health import health
 from ..operators.history import former_selectors, former_values
 from ..operators.paginate import extract_all
 from ..operators.repair import repair
+from ..operators.rules import violation_rows
 from ..operators.schema import Selector, Strategy, default_strategy
+from ..operators.variant import typed
 from ..sources.layouts import pages as layout_pages
 from ..sources.log import StateLog
+from ..sources.snapshots import read_snapshot_files, write_snapshot_files
 from . import fleet
-from .catalog import RECORDS, _golden, _products, _table
-from .oracles import _FIELDS, _H, _P, _V, _empty
+from .catalog import RECORDS, _golden, _products, _table, records
+from .oracles import _FIELDS, _H, _P, _R, _V, _empty
 
 # ---- pagination: sites of 250 products are 25 pages long
 
@@ -264,11 +267,49 @@ def rollback_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(log, log.state().select(F.col("scraper_id").alias("id"), F.col("max_version").cast("bigint").alias("versions"), F.coalesce("current_version", F.lit(0)).cast("bigint").alias("current_version")))
 
 
+# ---- loosely typed records and snapshot files
+
+
+def variant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of records that came as JSON; some values have a type that their field does not allow."""
+    rows, pos = records(spark, sf_dir), F.col("pos")
+    odd = {
+        "price": F.when(F.map_contains_key("loose", "price"), F.element_at("loose", "price").cast("variant")),
+        "review_count": F.when(pos % 47 == 0, (pos + F.lit(0.5).cast("double")).cast("variant")),
+        "product_name": F.when(pos % 53 == 0, pos.cast("variant")),
+        "currency": F.when(pos % 59 == 0, F.lit(True).cast("variant")),
+        "image_url": F.when(pos % 61 == 0, F.to_variant_object(F.struct(F.col("image_url").alias("src")))),
+    }
+    members = [F.coalesce(*([odd[f]] if f in odd else []), F.col(f).cast("variant")).alias(f) for f in ("product_id", *_FIELDS)]
+    text = F.to_json(F.to_variant_object(F.struct(*members)))
+    return violation_rows(typed(rows.select("run", "pos", F.parse_json(text).alias("record"))), ["run"]).select("run", "pos", "field", "code")
+
+
+_ODD = (("review_count", 47), ("product_name", 53), ("currency", 59), ("image_url", 61))
+_SQL_VARIANT = f"""WITH {_R}, {_V} SELECT run, pos, field, code FROM v WHERE {" AND ".join(f"NOT (field = '{f}' AND pos % {n} = 0)" for f, n in _ODD)}
+{" ".join(f"UNION ALL SELECT run, pos, '{f}', 'wrong_type' FROM r WHERE pos % {n} = 0" for f, n in _ODD)} UNION ALL SELECT run, pos, 'currency', 'not_iso4217' FROM r WHERE pos % 59 = 0"""
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a snapshot file with its metadata, and read back."""
+    root = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    meta = F.create_map(F.lit("page"), F.col("page_id").cast("string"))
+    pages = _table(spark, sf_dir, "pages").select("url", "html", F.lit(200).alias("status_code"), F.lit("store").alias("provider"), meta.alias("provider_meta"), F.col("page_id").cast("double").alias("fetched_at"))
+    write_snapshot_files(pages, root)
+    read = read_snapshot_files(spark, root)
+    return read.select(F.element_at("provider_meta", "page").cast("bigint").alias("page_id"), "host", "content_sha", F.col("bytes").cast("bigint").alias("bytes"), F.sha2("html", 256).alias("html_sha256"))
+
+
+_SQL_FILES = r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'unknown') AS host,
+ substr(sha256(html), 1, 16) AS content_sha, length(html) AS bytes, sha256(html) AS html_sha256 FROM pages WHERE html IS NOT NULL"""
+
 QUERIES = {q.__name__: q for q in (
     paginated_extract, paginated_runs, dom_fingerprints, page_facts, page_select, anchor_values, page_vocabulary, detection_as_of, fleet_decisions, historical_repairs, version_numbers, rollback_state,
+    variant_violations, snapshot_files,
 )}
 
 ORACLES = {
     "paginated_extract": _SQL_PAGES, "paginated_runs": _SQL_RUNS, "dom_fingerprints": _SQL_PRINTS, "page_facts": _SQL_FACTS, "page_select": _SQL_SELECT, "anchor_values": _SQL_ANCHORS,
     "page_vocabulary": _SQL_WORDS, "detection_as_of": _SQL_AS_OF, "detect_severity": _SQL_SEVERITY, "fleet_decisions": _SQL_FLEET, "historical_repairs": _SQL_HISTORY,
+    "variant_violations": _SQL_VARIANT, "snapshot_files": _SQL_FILES,
 }

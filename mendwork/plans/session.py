@@ -17,6 +17,10 @@ from ..sources.pages import Settings, Source
 from ..sources.store import Store
 
 
+#: records that a run expects if nothing else is said
+RECORDS_EXPECTED = 20
+
+
 @dataclass(frozen=True)
 class Decision:
     """What a run did: no_change, promote, shadow, reject or rollback."""
@@ -104,6 +108,35 @@ class Session:
         self.store.record_repair(scraper_id, old, None, why or "unknown", plan.candidate_count, None, plan.confidence, text, "shadow")
         return Decision(scraper_id, old, None, "shadow", f"shadow health {shadow.health_score:.2f}: not promoted (needs >= {self.thresholds.healthy})", plan.confidence, report.health_score, shadow.health_score)
 
+    def run_now(self, scraper_id: int, url: str | None = None, expected: int | None = None, layout: str | None = None, golden: DataFrame | None = None) -> tuple:
+        """``run`` with what a caller need not say: the registered address, ``RECORDS_EXPECTED`` records, and as many of the golden ones.
+
+        ``layout`` switches the page store before; a source that cannot be switched raises.
+        """
+        target = url or self.scraper(scraper_id).target_url
+        if layout:
+            if not hasattr(self.source, "switch"):
+                raise ValueError("this source has no layouts to switch to")
+            self.source.switch(layout)
+        expected = expected or RECORDS_EXPECTED
+        return self.run(scraper_id, target, expected, golden if golden is None else golden.where(F.col("pos") < expected))
+
+    def status(self) -> dict:
+        """Whether the state can be read, the provider, whether a proxy is configured, and the number of scrapers."""
+        n = self.store.table("scrapers").agg(F.count_distinct("id")).first()[0]
+        return {"status": "ok", "provider": self.settings.provider, "proxy_configured": bool(self.settings.proxy), "scrapers": n}
+
+    def version(self, scraper_id: int, version: int) -> Strategy:
+        text = self.store.version(scraper_id, version)
+        if text is None:
+            raise LookupError(f"scraper {scraper_id} has no version {version}")
+        return Strategy.from_json(text)
+
+    def layouts(self) -> list[str]:
+        """Names of the layouts that the page store holds, sorted; none for other sources."""
+        pages = getattr(self.source, "pages", None)
+        return [] if pages is None else [r.layout for r in pages.select("layout").distinct().orderBy("layout").collect()]
+
     def rollback(self, scraper_id: int, to_version: int, reason: str = "manual rollback") -> Decision:
         """Make a former version current; health stays and no version is deleted."""
         scraper = self.scraper(scraper_id)

@@ -108,7 +108,7 @@ def test_configuration_errors(spark):
     assert Strategy.from_json(default_strategy().to_json()) == default_strategy()
 
 
-QUICK = ["price_parse", "rating_parse", "int_parse", "url_canonical", "url_dup_groups", "tracking_param_stats", "rule_violations", "violations_by_code", "health_status", "failure_signals", "dedupe_fold", "dedupe_report", "newly_broken", "layout_health", "scraper_state", "rollback_state", "golden_accuracy", "page_facts", "page_select", "dom_fingerprints", "page_vocabulary", "anchor_values", "paginated_runs", "detection_as_of", "repair_winners"]
+QUICK = ["price_parse", "rating_parse", "int_parse", "url_canonical", "url_dup_groups", "tracking_param_stats", "rule_violations", "violations_by_code", "health_status", "failure_signals", "dedupe_fold", "dedupe_report", "newly_broken", "layout_health", "scraper_state", "rollback_state", "golden_accuracy", "page_facts", "page_select", "dom_fingerprints", "page_vocabulary", "anchor_values", "paginated_runs", "detection_as_of", "repair_winners", "variant_violations", "snapshot_files"]
 
 
 @pytest.mark.parametrize("name", QUICK)

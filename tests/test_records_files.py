@@ -139,3 +139,20 @@ def test_proxy_keeps_its_distance_from_each_host(spark):
             source.fetch(spark.createDataFrame([("http://a.example/gone",)], "url string")).collect()
     finally:
         server.shutdown()
+
+
+def test_session_defaults(spark, site, products, tmp_path):
+    from mendwork.plans.session import Session
+    from mendwork.sources.pages import PageStore
+
+    session = Session(spark, str(tmp_path / "state"), PageStore(site.where("layout IN ('v1_healthy', 'v2_class')") if site.where("layout = 'v2_class'").count() else site))
+    assert session.status()["scrapers"] == 0
+    scraper = session.register("shop", "http://127.0.0.1:8765/list?page=1")
+    assert session.status() == {"status": "ok", "provider": "store", "proxy_configured": False, "scrapers": 1}
+    report, decision = session.run_now(scraper, golden=products)
+    assert (report.records_expected, report.records_received, decision.action) == (20, 10, "no_change") or decision.action in ("reject", "shadow")
+    assert session.run_now(scraper, expected=10, layout="v1_healthy")[1].action == "no_change"
+    assert "v1_healthy" in session.layouts() and session.layouts() == sorted(session.layouts())
+    assert session.version(scraper, 1) == session.active_strategy(scraper)
+    with pytest.raises(LookupError):
+        session.version(scraper, 9)
