@@ -29,7 +29,7 @@ def test_types_of_variant_members(spark):
         '[1, 2]', '"text"', "null", None,
     ]).orderBy("pos").collect()
     assert (got[0].product_id, got[0].price, got[0].rating, got[0].review_count, got[0].currency, got[0].loose) == ("7", 8999.0, 4.0, 1284, "INR", {})
-    assert got[1].loose == {"price": "12", "review_count": "3", "product_name": "5", "currency": "true", "image_url": '{"a":1}'} or got[1].loose["review_count"] in ("3.0", "3")
+    assert got[1].loose == {"price": "12", "review_count": "3", "product_name": "5", "currency": "true", "image_url": '{"a":1}'}
     assert all(got[1][f] is None for f in FIELDS)
     assert (got[2].price, got[2].rating, got[2].loose) == (1.0, 1000.0, {"review_count": "", "product_name": "[1]"})
     assert all(r[f] is None for r in got[3:] for f in (ID, *FIELDS)) and not any(r.loose for r in got[3:])
@@ -150,7 +150,7 @@ def test_session_defaults(spark, site, products, tmp_path):
     scraper = session.register("shop", "http://127.0.0.1:8765/list?page=1")
     assert session.status() == {"status": "ok", "provider": "store", "proxy_configured": False, "scrapers": 1}
     report, decision = session.run_now(scraper, golden=products)
-    assert (report.records_expected, report.records_received, decision.action) == (20, 10, "no_change") or decision.action in ("reject", "shadow")
+    assert (report.records_expected, report.records_received, decision.action) == (20, 10, "no_change")
     assert session.run_now(scraper, expected=10, layout="v1_healthy")[1].action == "no_change"
     assert "v1_healthy" in session.layouts() and session.layouts() == sorted(session.layouts())
     assert session.version(scraper, 1) == session.active_strategy(scraper)
