@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mendwork.llm import mixing
@@ -194,3 +195,32 @@ def test_words_are_counted_as_python_splits_them(spark, monkeypatch):
         want[train].update([*(t or "").encode().lower().split(), b""])
     got = {bytes(r.word): (r.n, r.held) for r in mixing.word_counts(spark.createDataFrame(rows, "text string, train boolean").repartition(2)).collect()}
     assert got == {w: (want[True][w], want[False][w]) for w in {*want[True], *want[False]}}
+
+
+def test_equal_bits_are_mixed_once(spark, monkeypatch):
+    """The work follows distinct (context, node, bit, train), not the entries that share them."""
+    coder, _ = coder_of(spark)
+    near, before, s, at, _ = coder.units([[w.encode() for w in tokens(t)[:-1]] for t in TEXTS])
+    train = at % 5 != 1
+    want = 0
+    for key in (near, near * (1 << 32) + before):
+        seen, distinct = Counter(), set()
+        for k, x, t in zip(key.tolist(), s, train.tolist()):
+            for step in coder.steps[coder.offset[x] : coder.offset[x] + coder.length[x]].tolist():
+                seen[k, step >> 1] += t
+                distinct.add((k, step >> 1, step & 1, t))
+        want += sum(seen[k, node] > t for k, node, _, t in distinct)
+    got, log10 = [], mixing.Mixer.log10
+    monkeypatch.setattr(mixing.Mixer, "log10", lambda self, gate, odds, bit: (got.append(len(bit)), log10(self, gate, odds, bit))[1])
+    mixing.shard_scores(coder, near, before, s, train)
+    assert sum(got) == want > 0
+
+
+def test_words_of_texts_in_pieces():
+    texts = pa.array([" a  B\x0bc ", None, "", "\x1cd\x85", "e f", "Ä"])
+    want = [b" a  b\x0bc ".split(), [], [], "\x1cd\x85".encode().split(), [b"e", b"f"], ["Ä".encode()]]
+    assert mixing.words_of(texts).to_pylist() == want and mixing.words_of(texts.slice(3, 2)).to_pylist() == want[3:5]
+    for size in (1, 4, 1000):
+        pieces = list(mixing.in_pieces(texts, size))
+        assert [w for _, p in pieces for w in mixing.words_of(p).to_pylist()] == want and [a for a, _ in pieces] == np.cumsum([0, *(len(p) for _, p in pieces)]).tolist()[:-1]
+    assert list(mixing.in_pieces(texts.slice(0, 0), 4)) == []
