@@ -79,7 +79,8 @@ def dedupe(records: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """
     rows = records.withColumn("_key", dedupe_key())
     fold = _fold()
-    groups = rows.groupBy(*keys, "_key").agg(F.min("pos").alias("_first"), fold.alias("_r"), F.count("_key").alias("_n")).where("_n > 0")
+    # dealt by page once: groups and places are both within a page
+    groups = rows.repartition(*keys).groupBy(*keys, "_key").agg(F.min("pos").alias("_first"), fold.alias("_r"), F.count("_key").alias("_n")).where("_n > 0")
     place = F.row_number().over(_by(keys, "_first")) - 1
     unique = groups.select(*keys, place.alias("pos"), *[F.col("_r")[n].alias(n) for n in RECORD.names[1:]])
     by_kind = F.split_part("_key", F.lit(":"), F.lit(1))

@@ -7,12 +7,16 @@ be generated at any scale.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.memo import memo
 
 PAGE_SIZE = 10
+# What a card shows
+_CARD = ("product_id", "product_name", "price", "currency", "rating", "review_count", "availability", "product_url", "image_url")
 
 #: the layouts and whether the default strategy breaks on them
 LAYOUTS = {
@@ -33,25 +37,24 @@ def _tag(name: str, mark: str, *inner: Column | str) -> Column:
     return F.concat(F.lit(f"<{name}{attr}>"), *[F.lit(i) if isinstance(i, str) else i for i in inner], F.lit(f"</{name}>"))
 
 
-@memo
-def card(layout: str) -> Column:
-    """One product card; columns as in the record schema, all non-null."""
+def card(layout: str, of: Callable[[str], Column] = F.col) -> Column:
+    """One product card; ``of`` gives the fields of the record schema, all non-null."""
     testid, nested, decoy = layout == "v3_dataattr", layout in ("v4_change_nesting", "v9_combined"), layout in ("v7_decoy", "v9_combined")
     mark = lambda cls, test=None: f'data-testid="{test or cls}"' if testid else f'class="{cls}"'
     cost = "cost" if layout in ("v2_rename_class", "v9_combined") else "price"
     money = lambda v: F.concat(F.lit("₹"), F.format_number(v, 2))
     label = layout == "v6_label_change"
-    price = _tag("span", mark(f"{cost} current" if decoy else cost, "price"), money(F.col("price")))
-    was = [_tag("s", f'class="{cost} original"', money(F.col("price") * 1.25))] if decoy else []
-    currency = _tag("span", mark("currency"), escaped("currency"))
-    rating = _tag("span", mark("rating"), F.format_string("%.1f", F.col("rating")))
-    reviews = _tag("span", mark("review-count"), F.format_number(F.col("review_count"), 0))
-    stock = F.col("availability")
+    price = _tag("span", mark(f"{cost} current" if decoy else cost, "price"), money(of("price")))
+    was = [_tag("s", f'class="{cost} original"', money(of("price") * 1.25))] if decoy else []
+    currency = _tag("span", mark("currency"), escaped(of("currency")))
+    rating = _tag("span", mark("rating"), F.format_string("%.1f", of("rating")))
+    reviews = _tag("span", mark("review-count"), F.format_number(of("review_count"), 0))
+    stock = of("availability")
     if layout == "v11_semantic":
         stock = F.when(stock == "In Stock", "Available").otherwise("Unavailable")
     wrap = (lambda cls, x: _tag("div", f'class="{cls}"', x)) if nested else (lambda cls, x: x)
-    image = F.concat(F.lit('<img class="product-image" src="'), escaped("image_url"), F.lit('" alt="'), escaped("product_name"), F.lit('">'))
-    link = F.concat(F.lit('<a class="product-link" href="'), escaped("product_url"), F.lit('">'), wrap("media", image), wrap("title-wrap", _tag("h3", mark("product-name", "title"), escaped("product_name"))), F.lit("</a>"))
+    image = F.concat(F.lit('<img class="product-image" src="'), escaped(of("image_url")), F.lit('" alt="'), escaped(of("product_name")), F.lit('">'))
+    link = F.concat(F.lit('<a class="product-link" href="'), escaped(of("product_url")), F.lit('">'), wrap("media", image), wrap("title-wrap", _tag("h3", mark("product-name", "title"), escaped(of("product_name")))), F.lit("</a>"))
     block = "" if testid else 'class="price-block"'
     prices = F.concat(F.lit("Buy for ") if label else F.lit(""), *was, price, F.lit(" "), currency)
     prices = _tag("aside", 'class="summary"', prices) if layout == "v5_move_price" else _tag("div", block, wrap("inner", prices))
@@ -60,7 +63,13 @@ def card(layout: str) -> Column:
     said = F.concat(F.lit("Availability: ") if label else F.lit(""), escaped(stock))
     stocks = _tag("div", 'class="stock-status"' if layout == "v10_partial" else mark("availability"), _tag("span", 'class="inner"', said) if nested else said)
     body = F.concat(link, wrap("body", F.concat(prices, rates, stocks)))
-    return F.concat(F.lit('<article class="product-card" data-product-id="'), escaped("product_id"), F.lit('">'), wrap("card-inner", body), F.lit("</article>\n"))
+    return F.concat(F.lit('<article class="product-card" data-product-id="'), escaped(of("product_id")), F.lit('">'), wrap("card-inner", body), F.lit("</article>\n"))
+
+
+@memo
+def _cards(layout: str) -> Column:
+    """The cards of a page's products in ``_products``, one after the other."""
+    return F.array_join(F.transform("_products", lambda p: card(layout, lambda f: p[f])), "")
 
 
 @memo
@@ -84,13 +93,16 @@ def pages(products: DataFrame, site: list[str] | None = None, layouts: list[str]
     """
     site = site or []
     chosen = layouts or list(LAYOUTS)
-    cards = products.select(*site, "pos", F.explode(F.array(*[F.struct(F.lit(n).alias("layout"), card(n).alias("card")) for n in chosen])).alias("c"))
-    rows = cards.select(*site, "c.layout", (F.floor(F.col("pos") / PAGE_SIZE) + 1).cast("int").alias("page_no"), "pos", "c.card")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "card"))), lambda x: x["card"]), "")
-    grouped = rows.groupBy(*site, "layout", "page_no").agg(body.alias("_body"))
-    totals = products.groupBy(*site).agg(F.ceil((F.max("pos") + 1) / PAGE_SIZE).cast("int").alias("_pages"))
-    joined = grouped.join(totals, site) if site else grouped.join(totals, F.lit(True))
-    foot = F.coalesce(*[F.when(F.col("layout") == n, _pagination(n)) for n in chosen])
+    # products are dealt once, by site, to as many tasks as shuffles have: rows are few and small here, but each makes cards and pages
+    tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    page_no = (F.floor(F.col("pos") / PAGE_SIZE) + 1).cast("int").alias("page_no")
+    rows = products.select(*site, "pos", page_no, *[F.col(f) for f in _CARD]).repartition(tasks, *(site or ["page_no"]))
+    page = rows.groupBy(*site, "page_no").agg(F.array_sort(F.collect_list(F.struct("pos", *_CARD))).alias("_products"))
+    if site:
+        page = page.withColumn("_pages", F.max("page_no").over(Window.partitionBy(*site)))
+    else:
+        page = page.crossJoin(F.broadcast(products.agg(F.ceil((F.max("pos") + 1) / PAGE_SIZE).cast("int").alias("_pages"))))
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("layout"), _cards(n).alias("body"), _pagination(n).alias("foot")) for n in chosen])).alias("c")
     head = F.concat(F.lit('<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>Catalog</title></head><body><header><h1>Shop</h1></header><main><h2>Page '), F.col("page_no").cast("string"), F.lit('</h2><section class="product-grid">\n'))
-    html = F.concat(head, F.col("_body"), F.lit("</section>\n"), foot, F.lit("</main><footer><p>Synthetic data.</p></footer></body></html>\n"))
-    return joined.select(*site, "layout", "page_no", F.lit(url).alias("url"), html.alias("html"))
+    html = F.concat(head, F.col("c.body"), F.lit("</section>\n"), F.col("c.foot"), F.lit("</main><footer><p>Synthetic data.</p></footer></body></html>\n"))
+    return page.select(*site, "page_no", made).select(*site, "c.layout", "page_no", F.lit(url).alias("url"), html.alias("html"))
