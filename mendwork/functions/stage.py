@@ -23,3 +23,12 @@ def stage(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, so that a lost executor loses none of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which it is never sent whole to every task through the driver.
+
+    Spark guesses the size of what a page gives from the table that the page
+    was made of, which can be a hundred times less than it is.
+    """
+    return df.hint("merge")

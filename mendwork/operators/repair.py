@@ -17,12 +17,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import normalize as N
 from ..functions.memo import memo
-from ..functions.stage import stage
+from ..functions.stage import large, stage
 from ..functions.urls import base_of
 from . import dom
 from .candidates import templates
 from .dedupe import dedupe
-from .extract import RAW, records_of
+from .extract import CHUNK, RAW, records_of
 from .schema import FIELDS, ID, KINDS, Selector, Strategy
 from .score import TOP_K, WEIGHTS, field_scores, gate, rank
 
@@ -30,7 +30,7 @@ _TEXTS = ("kind", "value", "attr", "transform", "source", "rationale")
 CANDIDATE = T.StructType([T.StructField("field", T.StringType()), T.StructField("gen_ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in _TEXTS]])
 PROBE = T.StructType([
     T.StructField("records", T.ArrayType(T.MapType(T.StringType(), RAW))),
-    T.StructField("candidates", T.ArrayType(T.StructType([*CANDIDATE, T.StructField("raws", T.ArrayType(T.StringType()))]))),
+    T.StructField("candidates", T.ArrayType(T.StructType([*CANDIDATE, T.StructField("like", T.IntegerType()), T.StructField("raws", T.ArrayType(T.StringType()))]))),
 ])
 
 
@@ -84,7 +84,9 @@ def probe(pages: DataFrame, keys: list[str], html: str = "html", strategy: str =
 
     ``given`` names an array of further CANDIDATE structs of the page: those of
     source ``historical`` count unless the same selector is there already,
-    others always. Candidates are in the order of ``gen_ord``.
+    others always. Candidates are in the order of ``gen_ord``. ``like`` is the
+    ``gen_ord`` of the first candidate of the field with the same transform and
+    raw values, whose records and scores are the same.
     """
     schema = T.StructType([*[pages.schema[k] for k in keys], *PROBE])
     arrow = to_arrow_schema(schema)
@@ -105,26 +107,29 @@ def probe(pages: DataFrame, keys: list[str], html: str = "html", strategy: str =
 
     def probed(page: str | None, own: Strategy, broken: list[str], more: list[dict]) -> dict:
         root = dom.parse(page)
-        elements = list(root.walk())
-        words, attrs = {c.lower() for e in elements for c in e.classes}, {a for e in elements for a in e.attrs if a.startswith("data-")}
+        words, attrs = {c.lower() for e in root.walk() for c in e.classes}, {a for e in root.walk() for a in e.attrs if a.startswith("data-")}
         roots = [_Root(e) for e in (dom.select(root, own.record_selector) if own.record_selector else ())]
         known = {f: _Root.key(s.value) if s.kind == "css" else None for f, s in own.fields.items()}
         made = []
         for field in broken:
+            first: dict[tuple, int] = {}
             for c in candidates(field, words, attrs, [m for m in more if m["field"] == field]):
                 key = _Root.key(c["value"]) if c["kind"] == "css" else None
-                made.append({**c, "raws": [r.value(c["kind"], c["value"], c["attr"], key) for r in roots]})
+                raws = [r.value(c["kind"], c["value"], c["attr"], key) for r in roots]
+                made.append({**c, "like": first.setdefault((c["transform"], *raws), c["gen_ord"]), "raws": raws})
         return {"records": [[(f, {"raw": r.value(s.kind, s.value, s.attr, known[f]), "transform": s.transform}) for f, s in own.fields.items()] for r in roots], "candidates": made}
 
     def run(batches):
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_html", "_strategy", "broken_fields", "_given")]
-            rows = [probed(page, Strategy.from_json(text), broken or [], more or []) for page, text, broken, more in zip(*columns)]
-            made = [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in PROBE]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], names=arrow.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                columns = [batch.column(c).to_pylist() for c in ("_html", "_strategy", "broken_fields", "_given")]
+                rows = [probed(page, Strategy.from_json(text), broken or [], more or []) for page, text, broken, more in zip(*columns)]
+                made = [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in PROBE]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], names=arrow.names)
 
     more = F.col(given) if given else F.lit(None).cast(T.ArrayType(CANDIDATE))
-    return pages.select(*keys, F.col(html).alias("_html"), F.col(strategy).alias("_strategy"), "broken_fields", more.alias("_given")).mapInArrow(run, schema)
+    return pages.select(*dict.fromkeys([*keys, "broken_fields"]), F.col(html).alias("_html"), F.col(strategy).alias("_strategy"), more.alias("_given")).mapInArrow(run, schema)
 
 
 @memo
@@ -148,7 +153,7 @@ def _swap() -> tuple[list[Column], list[Column]]:
 def swapped_records(values: DataFrame, base: DataFrame, keys: list[str], url: str) -> DataFrame:
     """Records as they would be under each candidate, deduplicated again by page and candidate."""
     rows = values.select(*keys, "field", "gen_ord", "transform", base_of(F.col(url)).alias("_base"), F.posexplode("raws").alias("pos", "raw"))
-    joined = rows.join(base, [*keys, "pos"])
+    joined = rows.join(large(base), [*keys, "pos"])
     read, columns = _swap()
     records = joined.select("*", *read).select(*keys, "field", "gen_ord", "pos", *columns)
     return dedupe(records, [*keys, "field", "gen_ord"])[0]
@@ -184,21 +189,23 @@ def repair(
     if historical is not None or extra is not None:
         # few rows: former selectors and a plug-in's proposals go to the pages
         listed = _given(historical, extra, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("_given"))
-        pages, given = broken.join(listed, keys, "left"), "_given"
-    probed = stage(probe(pages, held, html, strategy, given))
+        pages, given = broken.join(large(listed), keys, "left"), "_given"
+    probed = stage(probe(pages, [*held, "broken_fields"], html, strategy, given))
     base = records_of(probed, keys, F.col(url))
-    fields = broken.select(*keys, F.explode("broken_fields").alias("field"))
     tested = probed.select(*held, F.explode("candidates").alias("_c")).select(*held, "_c.*")
-    made = tested.select(*keys, *CANDIDATE.names)
-    records = swapped_records(tested, base, keys, url)
-    found = field_scores(records, [*keys, "gen_ord"], golden, historical_values, site)
+    made = tested.select(*keys, *CANDIDATE.names, "like")
+    records = swapped_records(tested.where("like = gen_ord"), base, keys, url)
+    found = field_scores(records, [*keys, "gen_ord"], golden, historical_values, site).withColumnRenamed("gen_ord", "like")
     # a candidate that gives no records scores zero, with the neutral share for its missing history
-    scored = made.join(found, [*keys, "field", "gen_ord"], "left").fillna(0.0, subset=[*WEIGHTS, "total"])
+    scored = made.join(large(found), [*keys, "field", "like"], "left").fillna(0.0, subset=[*WEIGHTS, "total"]).drop("like")
     ranked = rank(scored, keys)
     action, reason = gate()
-    winners = ranked.where("rank = 1").drop("rank").select(*keys, "field", *[F.col(c).alias(c) for c in ("kind", "value", "attr", "transform", "source", "rationale", *WEIGHTS, "total")])
-    kept = ranked.groupBy(*keys, "field").agg(F.least(F.lit(top_k), F.count("*")).cast("int").alias("candidate_count"), F.count("*").alias("generated"))
-    repairs = fields.join(winners, [*keys, "field"], "left").join(kept, [*keys, "field"], "left").fillna(0, subset=["candidate_count", "generated"])
+    shown = F.struct("kind", "value", "attr", "transform", "source", "rationale", *WEIGHTS, "total")
+    best = scored.groupBy(*keys, "field").agg(
+        F.min_by(shown, F.struct(-F.col("total"), "gen_ord")).alias("_w"), F.least(F.lit(top_k), F.count("*")).cast("int").alias("candidate_count"), F.count("*").alias("generated")
+    )
+    asked = probed.select(*keys, F.explode("broken_fields").alias("field"))
+    repairs = asked.join(large(best), [*keys, "field"], "left").select(*keys, "field", "_w.*", *[F.coalesce(c, F.lit(0)).cast(k).alias(c) for c, k in (("candidate_count", "int"), ("generated", "bigint"))])
     return repairs.withColumns({"action": action, "reason": reason}), ranked
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stage import large
 from .dedupe import present
 from .schema import FIELDS, ID
 
@@ -55,10 +56,11 @@ def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None
         *[F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")), F.lit(0.0)).alias(a) for c, a in (("_ok", "schema_validity"), ("_there", "completeness"), ("_typed", "type_validity"))],
     ]
     if golden is not None:
-        want = golden.select(*(site or []), "pos", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), shown(f).alias("_g")) for f in FIELDS])).alias("x")).select(*(site or []), "pos", "x.field", "x._g", F.lit(True).alias("_known"))
-        rows = rows.join(want, [*(site or []), "pos", "field"], "left")
+        by = [*(site or []), "pos"]
+        want = golden.select(*by, *[shown(f).alias(f"_g_{f}") for f in FIELDS], F.lit(True).alias("_known"))
+        rows = rows.join(large(want), by, "left").withColumn("_known", F.when(F.col("field").isin(*FIELDS), F.col("_known")))
         # fields beyond the schema are null on both sides
-        hit = F.col("_v").eqNullSafe(F.col("_g")).cast("int")
+        hit = F.col("_v").eqNullSafe(_by_field(lambda f: F.col(f"_g_{f}"))).cast("int")
         aggregates.append(F.coalesce(F.sum(F.when(F.col("_known"), hit)) / F.count("_known"), F.lit(0.0)).alias("similarity"))
     else:
         mean = F.avg(length)
@@ -68,7 +70,7 @@ def field_scores(records: DataFrame, groups: list[str], golden: DataFrame | None
         past = historical.where("value IS NOT NULL")
         bag = past.groupBy(*by).agg(F.count("*").alias("_bag"))
         seen = past.select(*by, F.col("value").alias("_v"), F.lit(1).alias("_seen")).distinct()
-        rows = rows.join(seen, [*by, "_v"], "left").join(bag, by, "left")
+        rows = rows.join(large(seen), [*by, "_v"], "left").join(bag, by, "left")
         aggregates.append(F.when(F.max("_bag") > 0, F.avg(F.coalesce("_seen", F.lit(0)))).otherwise(0.5).alias("historical_consistency"))
     else:
         aggregates.append(F.lit(0.5).alias("historical_consistency"))
@@ -111,7 +113,7 @@ def gate(total: str = "total", completeness: str = "completeness", schema: str =
 
 def field_accuracy(records: DataFrame, golden: DataFrame, groups: list[str], site: list[str] | None = None) -> DataFrame:
     """Share of equal values over the places (of a site) that both have, all required fields."""
-    a, b = records.alias("a"), golden.alias("b")
+    a, b = records.alias("a"), large(golden).alias("b")
     both = a.join(b, reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("pos", *(site or []))]))
     hits = sum((shown(f, "a.").eqNullSafe(shown(f, "b.")).cast("int") for f in FIELDS), F.lit(0))
     return both.groupBy(*[F.col(f"a.{g}").alias(g) for g in groups]).agg((F.sum(hits) / (F.count("*") * len(FIELDS))).alias("field_accuracy"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import urls as U
+from ..functions.stage import large
 from ..operators import benchmark
 from ..operators.dedupe import dedupe
 from ..operators.detect import accuracy, detect
@@ -241,7 +242,7 @@ def layout_health(spark, sf_dir):
 def layout_accuracy(spark, sf_dir):
     got, golden = _site_records(spark, sf_dir), _products(spark, sf_dir)
     same = sum(((F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).cast("int") for f in FIELDS), F.lit(0))
-    both = got.alias("a").join(golden.alias("b"), (F.col("a.site") == F.col("b.site")) & (F.col("a.pos") == F.col("b.pos")))
+    both = got.alias("a").join(large(golden).alias("b"), (F.col("a.site") == F.col("b.site")) & (F.col("a.pos") == F.col("b.pos")))
     return both.groupBy("a.layout").agg(F.sum(same).cast("bigint").alias("right"), (F.count("*") * len(FIELDS)).alias("cells"))
 
 
@@ -257,7 +258,7 @@ def _golden(spark, sf_dir):
     """The products of the first pages, by the places that their cards have there."""
     rows = _products(spark, sf_dir).where("pos < 10")
     first = rows.groupBy("site").agg(F.min("pos").alias("_first"))
-    return rows.join(first, "site").withColumn("pos", (F.col("pos") - F.col("_first")).cast("int")).drop("_first")
+    return rows.join(large(first), "site").withColumn("pos", (F.col("pos") - F.col("_first")).cast("int")).drop("_first")
 
 
 def _repairs(spark, sf_dir):

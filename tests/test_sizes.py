@@ -4,8 +4,11 @@ import random
 import re
 from html.parser import HTMLParser
 
+from pyspark.sql import functions as F
+
 from mendwork.functions import html as markup
 from mendwork.operators.extract import extract
+from mendwork.operators.repair import probe, repair
 from mendwork.operators.schema import default_strategy
 from mendwork.sources.layouts import pages
 
@@ -50,3 +53,16 @@ def test_records_of_pages_are_shuffled_once(spark, site):
     made = spark.createDataFrame(site.select("layout", "page_no", "url", "html").limit(2).collect(), "layout string, page_no int, url string, html string")
     plan = _plan(extract(made, default_strategy(), ["layout", "page_no"]).records)
     assert len(re.findall(r"\bExchange ", plan)) == 1 and "fingerprint" not in plan
+
+
+def test_repair_scores_equal_candidates_once_and_broadcasts_nothing(spark, products, site):
+    sick = site.where("page_no = 1 AND layout = 'v2_rename_class'").withColumns({"broken_fields": F.array(F.lit("price")), "strategy": F.lit(default_strategy().to_json())})
+    made = probe(sick, ["layout"]).collect()[0].candidates
+    for c in made:
+        assert c.like == next(x.gen_ord for x in made if x.raws == c.raws)
+    assert len({c.like for c in made}) < len(made) / 3
+    repairs, ranked = repair(sick, ["layout"], golden=products)
+    assert "Broadcast" not in _plan(repairs) + _plan(ranked)
+    best, rows = repairs.collect()[0], sorted(ranked.collect(), key=lambda r: r["rank"])
+    assert (best.value, best.total, best.generated) == (rows[0].value, rows[0].total, len(rows)) and rows[0].value == ".cost"
+    assert [(r.total, r.gen_ord) for r in rows] == sorted(((r.total, r.gen_ord) for r in rows), key=lambda x: (-x[0], x[1]))
