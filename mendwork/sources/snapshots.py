@@ -131,13 +131,51 @@ def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
     out: the write that made it failed before the page.
     """
 
-    def whole(kind: str) -> DataFrame:
-        text = spark.read.text(f"{root}/[!_]*/*.{kind}", wholetext=True)
-        at = F.regexp_extract("_metadata.file_path", rf"([^/]+/[^/]+)\.{kind}$", 1)
-        return text.select(at.alias("stem"), F.col("value"))
-
-    pages = whole("html").withColumnRenamed("value", "html")
-    found = pages.join(whole("json").select("stem", F.from_json("value", _META).alias("m")), "stem", "left")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def folders(batches):
+        from pyarrow import fs
+
+        files, top = _opened(root)
+        list(batches)
+        names = sorted(i.base_name for i in files.get_file_info(fs.FileSelector(top, allow_not_found=True)) if i.type == fs.FileType.Directory and i.base_name[:1] != "_")
+        for at in range(0, len(names), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 10_000], pa.string())], names=["host"])
+
+    def stems(batches):
+        from pyarrow import fs
+
+        files, top = _opened(root)
+        for batch in batches:
+            for host in batch.column("host").to_pylist():
+                found = files.get_file_info(fs.FileSelector(f"{top}/{host}"))
+                names = [f"{host}/{i.base_name[:-5]}" for i in found if i.type == fs.FileType.File and i.base_name.endswith(".html") and i.base_name[:1] not in "_."]
+                for at in range(0, len(names), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 10_000], pa.string())], names=["stem"])
+
+    def contents(batches):
+        files, top = _opened(root)
+
+        def text(path: str) -> str:
+            with files.open_input_stream(path) as opened:
+                return opened.read().decode("utf-8", "replace")
+
+        def meta(path: str) -> str | None:
+            try:
+                return text(path)
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                names = batch.column("stem").slice(at, 64).to_pylist()
+                got = [[text(f"{top}/{n}.html") for n in names], [meta(f"{top}/{n}.json") for n in names]]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(x, pa.string()) for x in got)], names=["stem", "html", "meta"])
+
+    # names are listed and files opened in the tasks, a folder's files by many of them; the driver sees none
+    hosts = spark.range(1, numPartitions=1).mapInArrow(folders, "host string").repartition(tasks, "host")
+    read = hosts.mapInArrow(stems, "stem string").repartition(tasks, "stem").mapInArrow(contents, "stem string, html string, meta string")
+    found = read.withColumn("m", F.from_json("meta", _META))
     sound = F.substring(F.sha2("html", 256), 1, 16) == F.substring_index("stem", "_", -1)
     html = (
         F.when(F.col("m").isNull(), F.raise_error(F.concat(F.lit("no metadata beside "), "stem")))
