@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.html import feed
+from ..functions.stage import large
 from .dom import CODE, ENDS_P, ENDS_SAME, VOID
 from .schema import Strategy
 
@@ -245,9 +246,10 @@ def raw_values(table: DataFrame, keys: list[str], strategy: Strategy) -> DataFra
     anchors = {f: s for f, s in strategy.fields.items() if s.kind == "text-anchor"}
     rows = matched(table, keys, {"_root": strategy.record_selector, **{f"_is_{f}": s.value for f, s in css.items()}})
     if anchors:
-        rows = rows.join(documents(table, keys).withColumnRenamed("texts", "_texts"), keys)
+        # the document row is a page's first, and has the texts
+        rows = rows.withColumn("_texts", F.first("texts").over(Window.partitionBy(*keys).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         said = F.lower(text_of(texts="_texts"))
-        rows = rows.withColumns({f"_is_{f}": F.col("tag").isNotNull() & (F.col("node") > 0) & F.contains(said, F.lit(s.value.lower())) for f, s in anchors.items()})
+        rows = rows.withColumns({f"_is_{f}": F.col("tag").isNotNull() & (F.col("node") > 0) & F.contains(said, F.lit(s.value.lower())) for f, s in anchors.items()}).drop("_texts")
     after = Window.partitionBy(*keys).orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
     found = lambda f, s: F.struct("node", "text_from", "text_to", "parent", (F.col("attrs")[s.attr] if s.attr else F.lit(None).cast("string")).alias("attr"))
     following = {f"_at_{f}": F.last(F.when(F.col(f"_is_{f}"), found(f, s)), ignorenulls=True).over(after) for f, s in {**css, **anchors}.items()}
@@ -260,7 +262,7 @@ def raw_values(table: DataFrame, keys: list[str], strategy: Strategy) -> DataFra
     inside = lambda f: F.when(F.col(f"_at_{f}.node") <= F.col("last"), F.col(f"_at_{f}"))
     roots = roots.withColumns({f"_at_{f}": inside(f) for f in (*css, *anchors)})
     for f in anchors:
-        roots = roots.join(_around(table, keys, roots, f"_at_{f}", anchors[f].value, f"_text_{f}"), [*keys, "node"], "left")
+        roots = _around(table, keys, roots, f"_at_{f}", anchors[f].value, f"_text_{f}")
 
     def value(f: str) -> Column:
         s = strategy.fields[f]
@@ -277,13 +279,15 @@ def raw_values(table: DataFrame, keys: list[str], strategy: Strategy) -> DataFra
 
 
 def _around(table: DataFrame, keys: list[str], roots: DataFrame, at: str, label: str, name: str) -> DataFrame:
-    """(keys, node, name): the texts of all children of the found node's parent, without the label."""
-    wanted = roots.where(F.col(at).isNotNull()).select(*keys, F.col("node").alias("_node"), F.col(f"{at}.parent").alias("parent"))
-    children = wanted.join(table.select(*keys, "parent", "node", "tag", "text_from", "text_to"), [*keys, "parent"]).join(documents(table, keys), keys)
-    piece = F.when(F.col("tag").isNull(), F.element_at("texts", F.col("text_from") + 1)).otherwise(text_of())
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", piece.alias("t")))), lambda x: x["t"]), "")
-    around = children.groupBy(*keys, F.col("_node").alias("node")).agg(joined.alias("_all"))
-    return around.select(*keys, "node", F.btrim(F.replace("_all", F.lit(label), F.lit("")), F.lit(" :·-")).alias(name))
+    """Append to roots, which have their page's texts: the texts of all children of the found node's parent, without the label."""
+    children = table.select(*keys, F.col("parent").alias("_parent"), F.struct("node", "tag", "text_from", "text_to").alias("_kid"))
+    met = roots.withColumn("_parent", F.col(f"{at}.parent")).join(large(children), [*keys, "_parent"], "left")
+    piece = F.when(F.col("_kid.tag").isNull(), F.element_at("texts", F.col("_kid.text_from") + 1)).otherwise(text_of("_kid.text_from", "_kid.text_to"))
+    pieces = F.collect_list(F.when(F.col("_kid").isNotNull(), F.struct(F.col("_kid.node").alias("node"), piece.alias("t"))))
+    own = [c for c in roots.columns if c not in (*keys, "node")]
+    around = met.groupBy(*keys, "node").agg(F.first(F.struct(*own)).alias("_own"), F.array_join(F.transform(F.array_sort(pieces), lambda x: x["t"]), "").alias("_all"))
+    text = F.btrim(F.replace("_all", F.lit(label), F.lit("")), F.lit(" :·-"))
+    return around.select(*keys, "node", "_own.*", F.when(F.col(f"_own.{at}").isNotNull(), text).alias(name))
 
 
 def fingerprints(table: DataFrame, keys: list[str], limit: int = 2000, top: int = 20) -> DataFrame:

@@ -7,10 +7,13 @@ from html.parser import HTMLParser
 from pyspark.sql import functions as F
 
 from mendwork.functions import html as markup
+from mendwork.operators import nodes
 from mendwork.operators.extract import extract
 from mendwork.operators.repair import probe, repair
-from mendwork.operators.schema import default_strategy
+from mendwork.operators.schema import Selector, Strategy, default_strategy
 from mendwork.sources.layouts import pages
+from mendwork.sources.pages import SNAPSHOT
+from mendwork.sources.snapshots import read_snapshot_files, write_snapshot_files
 
 
 class _Log(HTMLParser):
@@ -66,3 +69,24 @@ def test_repair_scores_equal_candidates_once_and_broadcasts_nothing(spark, produ
     best, rows = repairs.collect()[0], sorted(ranked.collect(), key=lambda r: r["rank"])
     assert (best.value, best.total, best.generated) == (rows[0].value, rows[0].total, len(rows)) and rows[0].value == ".cost"
     assert [(r.total, r.gen_ord) for r in rows] == sorted(((r.total, r.gen_ord) for r in rows), key=lambda x: (-x[0], x[1]))
+
+
+def test_texts_of_a_page_are_not_joined_to_its_nodes(spark):
+    rows = [(1, "<div><p>Rated <b>4</b> of 5</p></div><div><i>no</i></div>"), (2, "<div>x<p>rated</p>y</div>"), (3, None)]
+    table = nodes.nodes(spark.createDataFrame(rows, "page int, html string"), ["page"])
+    got = nodes.raw_values(table, ["page"], Strategy("s", "div", {"around": Selector("text-anchor", "Rated"), "first": Selector("css", "b")}))
+    plan = _plan(got)
+    # one join, of roots with the children of what they found
+    assert "Broadcast" not in plan and plan.count("Join") == 1
+    assert sorted((r.page, r.pos, r.around, r.first) for r in got.collect()) == [(1, 0, "4 of 5", "4"), (1, 1, None, None), (2, 0, "xratedy", None)]
+
+
+def test_snapshot_files_are_listed_by_tasks(spark, tmp_path):
+    root = str(tmp_path / "s")
+    rows = [(f"http://h{k % 3}.example/{k}", "" if k == 5 else f"<p>{k}</p>", 200, "store", {}, float(k)) for k in range(12)]
+    write_snapshot_files(spark.createDataFrame(rows, SNAPSHOT), root)
+    read = read_snapshot_files(spark, root)
+    assert "FileScan" not in _plan(read) and "Join" not in _plan(read)
+    # an empty page is a page
+    assert sorted((r.url, r.html, r.host) for r in read.collect()) == sorted((u, h, u[7:17]) for u, h, *_ in rows)
+    assert read_snapshot_files(spark, str(tmp_path / "none")).collect() == []
