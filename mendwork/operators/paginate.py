@@ -1,7 +1,7 @@
 """Paginated extraction: follow next-page links of stored pages and join what the pages give.
 
-Pages are parsed once, all of them together; their links make a table of
-(site, url, next). Chains are followed by pointer jumping: after k rounds a
+Pages are parsed all together, for their links and for their records; the links
+make a table of (site, url, next). Chains are followed by pointer jumping: after k rounds a
 page knows the 2^k pages behind it, so twenty pages take five joins of the link
 table with itself, and a round is left out once no chain is open. Only
 addresses move in these rounds, never html or records.
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stage import stage
+from ..functions.stage import large, stage
 from .extract import extract
 from .schema import Strategy
 
@@ -44,7 +44,7 @@ def follow(links: DataFrame, keys: list[str], max_pages: int = MAX_PAGES, url: s
     none = F.array().cast("array<string>")
     # _to: the last page known so far if the way may go on behind it; _dead: a link without a page
     ways = stage(
-        pages.join(there, [*keys, "_next"], "left").select(
+        pages.join(large(there), [*keys, "_next"], "left").select(
             *keys, "_at", F.when(F.col("_known"), F.array("_next")).otherwise(none).alias("_path"), F.when(F.col("_known"), F.col("_next")).alias("_to"),
             F.when(F.col("_known").isNull(), F.col("_next")).alias("_dead"),
         )
@@ -54,7 +54,7 @@ def follow(links: DataFrame, keys: list[str], max_pages: int = MAX_PAGES, url: s
     while reach < max_pages and not ways.where("_to IS NOT NULL").isEmpty():
         on = ways.select(*keys, F.col("_at").alias("_to"), F.col("_path").alias("_more"), F.col("_to").alias("_far"), F.col("_dead").alias("_lost"))
         ways = stage(
-            ways.join(on, [*keys, "_to"], "left").select(
+            ways.join(large(on), [*keys, "_to"], "left").select(
                 *keys, "_at", F.concat("_path", F.coalesce("_more", none)).alias("_path"), F.col("_far").alias("_to"),
                 F.when(F.col("_to").isNull(), F.col("_dead")).otherwise(F.col("_lost")).alias("_dead"),
             )
@@ -85,16 +85,16 @@ def extract_all(pages: DataFrame, starts: DataFrame, strategy: Strategy | str, k
     got = extract(pages, strategy, [*keys, url], url, html)
     facts = stage(got.pages.select(*keys, url, "next_page_url", "fingerprint"))
     begun = starts.select(*keys, F.col(url).alias("start")).distinct()
-    ways = begun.join(follow(facts, keys, max_pages, url).withColumnRenamed(url, "start"), [*keys, "start"], "left")
+    ways = begun.join(large(follow(facts, keys, max_pages, url).withColumnRenamed(url, "start")), [*keys, "start"], "left")
     ways = stage(ways.select(*keys, "start", F.coalesce("pages", F.array().cast("array<string>")).alias("pages"), F.coalesce("stopped", F.lit("missing")).alias("stopped")))
     hops = ways.select(*keys, "start", F.posexplode("pages").alias("hop", url))
     own = [c for c in got.records.columns if c not in (*keys, url)]
-    found = hops.join(got.records, [*keys, url])
+    found = hops.join(large(got.records), [*keys, url])
     way = Window.partitionBy(*keys, "start").orderBy("hop", "pos")
     records = found.select(*keys, "start", "hop", F.col(url).alias("page"), (F.row_number().over(way) - 1).alias("place"), *own)
     counts = found.groupBy(*keys, "start").agg(F.count("*").alias("raw_len"))
     last: Column = F.element_at("pages", F.size("pages"))
     prints = facts.groupBy(*keys, F.col(url).alias("_last")).agg(F.min("fingerprint").alias("fingerprint"))
-    ends = ways.withColumn("_last", F.when(F.size("pages") > 0, last)).join(prints, [*keys, "_last"], "left").join(counts, [*keys, "start"], "left")
+    ends = ways.withColumn("_last", F.when(F.size("pages") > 0, last)).join(large(prints), [*keys, "_last"], "left").join(large(counts), [*keys, "start"], "left")
     runs = ends.select(*keys, "start", F.size("pages").cast("long").alias("n_pages"), "pages", "stopped", "fingerprint", F.coalesce("raw_len", F.lit(0)).cast("long").alias("raw_len"))
     return Pagination(records, runs)
