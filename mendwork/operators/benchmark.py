@@ -7,13 +7,13 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stage import stage
+from ..functions.stage import large, stage
 from .detect import accuracy, detect
 from .extract import extract
 from .health import broken_fields, health
 from .repair import plans, repair, with_proposed
 from .schema import Strategy, default_strategy
-from .score import field_accuracy
+from .score import with_hits
 
 
 def whole_site(records: DataFrame, groups: list[str]) -> DataFrame:
@@ -24,11 +24,11 @@ def whole_site(records: DataFrame, groups: list[str]) -> DataFrame:
 
 def rows_of(pages: DataFrame, strategy: Strategy | str, golden: DataFrame, expected: int, groups: list[str], site: list[str]) -> tuple[DataFrame, DataFrame]:
     """(benchmark rows by group, health reports)."""
-    records = whole_site(extract(pages, strategy, [*groups, "page_no"]).records, groups)
-    report = health(records, groups, expected, runs=pages.select(*groups).distinct())
-    right = field_accuracy(records, golden, groups, site)
-    rows = report.join(right, groups, "left").select(*groups, F.col("records_received").alias("records"), "completeness", "validity", F.bround(F.coalesce("field_accuracy", F.lit(0.0)), 4).alias("field_accuracy"), F.col("health_score").alias("health"), "status")
-    return rows, report
+    # one pass over the pages: health and accuracy are aggregates of the same records
+    records, right = with_hits(whole_site(extract(pages, strategy, [*groups, "page_no"]).records, groups), golden, site)
+    report = stage(health(records, groups, expected, runs=pages.select(*groups).distinct(), more=[right]))
+    accuracy_ = F.bround(F.coalesce("field_accuracy", F.lit(0.0)), 4).alias("field_accuracy")
+    return report.select(*groups, F.col("records_received").alias("records"), "completeness", "validity", accuracy_, F.col("health_score").alias("health"), "status"), report.drop("field_accuracy")
 
 
 def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy | None = None, site: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,22 +43,19 @@ def run(pages: DataFrame, golden: DataFrame, expected: int, strategy: Strategy |
     strategy, site = strategy or default_strategy(), site or []
     groups = [*site, "layout"]
     plain, report = rows_of(pages, strategy, golden, expected, groups, site)
-    # written stages keep the plans of what follows small
-    report = stage(report.withColumn("broken_fields", broken_fields()))
-    plain = stage(plain)
-    sick = report.where("status != 'healthy'").select(*groups, "broken_fields")
-    first = pages.where("page_no = 1").join(sick, groups).withColumn("strategy", F.lit(strategy.to_json()))
+    sick = report.where("status != 'healthy'").select(*groups, broken_fields().alias("broken_fields"))
+    first = pages.where("page_no = 1").join(large(sick), groups).withColumn("strategy", F.lit(strategy.to_json()))
     began = time.time()
     repairs = repair(first, groups, golden=golden, site=site)[0]
     plan = stage(with_proposed(plans(repairs, groups).withColumn("_old", F.lit(strategy.to_json())), "_old").drop("_old"))
     each = (time.time() - began) * 1000 / max(1, plan.count())
     fixed = plan.where("all_promote").select(*groups, F.col("proposed").alias("strategy"))
-    healed = rows_of(pages.join(fixed, groups), "strategy", golden, expected, groups, site)[0]
-    healed = plain.join(fixed, groups, "left_anti").unionByName(healed)
+    healed = rows_of(pages.join(large(fixed), groups), "strategy", golden, expected, groups, site)[0]
+    healed = plain.join(large(fixed), groups, "left_anti").unionByName(healed)
     tried = plan.select(*groups, F.lit(True).alias("repair_attempted"), F.col("confidence").alias("repair_confidence"), F.lit(each).alias("mttr_ms"))
     none = {"repair_attempted": F.lit(False), "repair_confidence": F.lit(0.0), "mttr_ms": F.lit(0.0)}
     before = plain.withColumn("system", F.lit("baseline")).withColumns(none)
-    after = healed.join(tried, groups, "left").fillna({"repair_attempted": False, "repair_confidence": 0.0, "mttr_ms": 0.0}).withColumn("system", F.lit("healing"))
+    after = healed.join(large(tried), groups, "left").fillna({"repair_attempted": False, "repair_confidence": 0.0, "mttr_ms": 0.0}).withColumn("system", F.lit("healing"))
     rows = before.unionByName(after)
     return rows, summary(rows, groups), plan
 
@@ -67,7 +64,7 @@ def summary(rows: DataFrame, groups: list[str] | None = None, baseline: str = "b
     """Runs, averages, repairs and their times by system; broken are the groups that are unhealthy in the baseline."""
     groups = groups or ["layout"]
     broken = rows.where((F.col("system") == baseline) & (F.col("status") != "healthy")).select(*groups).distinct().withColumn("_broken", F.lit(True))
-    marked = rows.join(broken, groups, "left").fillna(False, subset=["_broken"])
+    marked = rows.join(large(broken), groups, "left").fillna(False, subset=["_broken"])
     tried = F.col("repair_attempted") & F.col("_broken")
     fixed = tried & (F.col("status") == "healthy")
     return marked.groupBy("system").agg(

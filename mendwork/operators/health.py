@@ -44,6 +44,7 @@ def health(
     weights: HealthWeights = HealthWeights(),
     thresholds: HealthThresholds = HealthThresholds(),
     rules: Sequence[Rule] | None = None,
+    more: Sequence[Column] = (),
 ) -> DataFrame:
     """One health report per run.
 
@@ -51,19 +52,21 @@ def health(
     the keys of all runs and the columns that ``expected`` and
     ``baseline_null_rates`` name; a run without records is reported only if it
     is there. Ratios are rounded to 4 places (half even), the status comes from
-    the unrounded score.
+    the unrounded score. ``more``: further aggregates of a run's records, by
+    their names in the report.
     """
     checks = tuple((c.field, c.code) for r in (default_rules() if rules is None else rules) for c in r.checks)
     keys = list(keys)
     per_run = isinstance(expected, str) and runs is None
     rows = records.withColumn("_v", violations(rules))
-    sums = rows.groupBy(*keys).agg(*_counts(checks), *([F.max(expected).alias(expected)] if per_run and expected not in keys else []))
+    sums = rows.groupBy(*keys).agg(*_counts(checks), *more, *([F.max(expected).alias(expected)] if per_run and expected not in keys else []))
     if runs is not None:
         sums = runs.join(sums, keys, "left")
         numbers = [c for c in sums.columns if c == "received" or c.startswith(("_code_", "_field_", "_null_")) or c in ("_filled", "_valid", "_given", "_price_n", "_url_n", "_name_n")]
         sums = sums.fillna(0, subset=numbers)
+    own = rows.groupBy().agg(*more).columns if more else []
     unrounded, columns = _report(checks, expected, baseline_null_rates, weights, thresholds)
-    return sums.select("*", *unrounded[0]).select("*", unrounded[1]).select(*keys, *columns)
+    return sums.select("*", *unrounded[0]).select("*", unrounded[1]).select(*keys, *columns, *own)
 
 
 @memo

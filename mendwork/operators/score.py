@@ -119,3 +119,11 @@ def field_accuracy(records: DataFrame, golden: DataFrame, groups: list[str], sit
     return both.groupBy(*[F.col(f"a.{g}").alias(g) for g in groups]).agg((F.sum(hits) / (F.count("*") * len(FIELDS))).alias("field_accuracy"))
 
 
+def with_hits(records: DataFrame, golden: DataFrame, site: list[str] | None = None) -> tuple[DataFrame, Column]:
+    """(records with what golden has at their places, the aggregate that ``field_accuracy`` gives, null without such places)."""
+    by = [*(site or []), "pos"]
+    want = golden.groupBy(*[F.col(c).alias(f"_at_{c}") for c in by]).agg(F.collect_list(F.struct(*[shown(f).alias(f) for f in FIELDS])).alias("_want"))
+    both = records.join(large(want), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in by]), "left").drop(*[f"_at_{c}" for c in by])
+    equal = lambda g: sum((shown(f).eqNullSafe(g[f]).cast("int") for f in FIELDS), F.lit(0))
+    hits, places = F.aggregate("_want", F.lit(0), lambda n, g: n + equal(g)), F.when(F.col("_want").isNotNull(), F.size("_want"))
+    return both, F.try_divide(F.sum(hits), F.sum(places) * len(FIELDS)).alias("field_accuracy")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from mendwork.functions import html as markup
 from mendwork.operators import nodes
 from mendwork.operators.extract import extract
+from mendwork.operators.health import health
+from mendwork.operators.paginate import follow
 from mendwork.operators.repair import probe, repair
 from mendwork.operators.schema import Selector, Strategy, default_strategy
+from mendwork.operators.score import field_accuracy, with_hits
 from mendwork.sources.layouts import pages
 from mendwork.sources.pages import SNAPSHOT
 from mendwork.sources.snapshots import read_snapshot_files, write_snapshot_files
@@ -90,3 +93,21 @@ def test_snapshot_files_are_listed_by_tasks(spark, tmp_path):
     # an empty page is a page
     assert sorted((r.url, r.html, r.host) for r in read.collect()) == sorted((u, h, u[7:17]) for u, h, *_ in rows)
     assert read_snapshot_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_accuracy_in_the_pass_of_health(spark, products):
+    rows = products.withColumns({"run": F.col("pos") % 3, "price": F.when(F.col("pos") % 4 > 0, F.col("price"))})
+    golden = products.where("pos < 12").unionByName(products.where("pos = 5").withColumn("currency", F.lit("EUR")))
+    golden = golden.where("pos % 3 < 2")
+    want = {r.run: r.field_accuracy for r in field_accuracy(rows, golden, ["run"]).collect()}
+    both, right = with_hits(rows, golden)
+    got = health(both, ["run"], 7, more=[right])
+    assert "Broadcast" not in _plan(got)
+    assert {r.run: (r.records_received, r.field_accuracy) for r in got.collect()} == {0: (7, want[0]), 1: (7, want[1]), 2: (6, want.get(2))}
+    assert want[0] < 1
+
+
+def test_ways_are_found_without_broadcasts(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", None)], "url string, next_page_url string")
+    assert "Broadcast" not in _plan(follow(links, []))
+    assert sorted((r.url, r.pages, r.stopped) for r in follow(links, []).collect()) == [("a", ["a", "b"], "end"), ("b", ["b"], "end")]
