@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stage import stage
+from ..functions.stage import large, stage
 from ..operators.extract import extract
 from ..operators.health import broken_fields, health
 from ..operators.repair import plans, repair, with_proposed
@@ -46,25 +46,25 @@ def run_all(pages: DataFrame, scrapers: DataFrame, golden: DataFrame | None = No
     post_status. A version that is promoted is max_version + 1.
     """
     known = scrapers.select(ID, "current_version", "max_version", "strategy", F.col("expected").cast("bigint").alias("expected"))
-    work = pages.select(ID, "url", "html").join(known.select(ID, "strategy"), ID)
+    work = pages.select(ID, "url", "html").join(large(known.select(ID, "strategy")), ID)
     runs = known.select(ID, "expected")
     records = extract(work, "strategy", [ID]).records
     reports = health(records, [ID], "expected", runs=runs, thresholds=thresholds)
     reports = stage(reports.select("*", broken_fields(thresholds.field_broken).alias("broken_fields")))
 
-    sick = work.join(reports.where("status <> 'healthy' AND size(broken_fields) > 0").select(ID, "broken_fields"), ID)
+    sick = work.join(large(reports.where("status <> 'healthy' AND size(broken_fields) > 0").select(ID, "broken_fields")), ID)
     repairs = repair(sick, [ID], golden=golden, historical=historical, historical_values=historical_values, site=[ID] if golden is not None else None)[0]
-    plan = plans(repairs, [ID]).join(known.select(ID, "strategy"), ID)
+    plan = plans(repairs, [ID]).join(large(known.select(ID, "strategy")), ID)
     plan = stage(with_proposed(plan, "strategy").drop("strategy"))
 
-    again = pages.select(ID, "url", "html").join(plan.select(ID, F.col("proposed").alias("strategy")), ID)
+    again = pages.select(ID, "url", "html").join(large(plan.select(ID, F.col("proposed").alias("strategy"))), ID)
     shadow = health(extract(again, "strategy", [ID]).records, [ID], "expected", runs=runs.join(plan.select(ID), ID, "left_semi"), thresholds=thresholds)
     shadow = shadow.select(ID, F.col("health_score").alias("post_health"), F.col("status").alias("post_status"))
     return FleetRun(reports, stage(_decided(reports, known, plan, shadow, thresholds)))
 
 
 def _decided(reports: DataFrame, known: DataFrame, plan: DataFrame, shadow: DataFrame, thresholds: HealthThresholds) -> DataFrame:
-    rows = reports.select(ID, "health_score", "status", "failure_signals").join(known.select(ID, "current_version", "max_version"), ID).join(plan, ID, "left").join(shadow, ID, "left")
+    rows = reports.select(ID, "health_score", "status", "failure_signals").join(large(known.select(ID, "current_version", "max_version")), ID).join(large(plan), ID, "left").join(large(shadow), ID, "left")
     well, planned = F.col("status") == "healthy", F.col("field_repairs").isNotNull()
     passes = F.col("all_promote") & (F.col("post_status") == "healthy") & (F.col("post_health") >= thresholds.healthy)
     action = F.when(well, "no_change").when(~planned, "reject").when(passes, "promote").otherwise("shadow")
